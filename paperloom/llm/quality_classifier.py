@@ -21,13 +21,16 @@ from paperloom.llm._shared import documents, shared_table
 
 #: The fit takes at most so many rated documents of each grade, the first by MD5 of doc_id.
 TRAIN_DOCS, BITS, GRADES = 4000, 18, 3
-PASSES, BATCH, RATE, L1, L2 = 6, 128, 0.15, 1.0, 1.0
+#: The L1 penalty and the documents that a feature needs, as shares of the rated documents.
+PASSES, BATCH, RATE, L1, LEAST, L2 = 25, 128, 1.0, 0.01, 0.003, 0.1
+#: Least probability of the top grade for selection.
+TAIL = 0.6
 
 
 def features(text: str | None, memo: dict[bytes, int]) -> list[int]:
-    """Hashed distinct features of a whole text: words in lower case without edge punctuation, what punctuation ends them, capitals, one for any text."""
+    """Hashed distinct features of a whole text: words in lower case without edge punctuation, what punctuation ends them, capitals."""
     mask = (1 << BITS) - 1
-    found = {0}
+    found: set[int] = set()
     for word in set((text or "").encode().split()):
         at = memo.get(word)
         if at is None:
@@ -53,6 +56,10 @@ class CumulativeLink:
 
 def fit(rows: list[list[int]], grades: np.ndarray, seed: int = 1) -> CumulativeLink:
     """Fit on feature lists and grades 0 to GRADES - 1."""
+    l1, least = L1 * len(rows), max(2, LEAST * len(rows))
+    held = np.bincount(np.concatenate([np.array(r, np.int64) for r in rows]), minlength=1 << BITS)
+    rows = [[x for x in r if held[x] >= least] for r in rows]
+    rarity = (np.log(len(rows) / np.maximum(held, 1)) / np.log(1 / LEAST)) ** 2  # what most texts have says little
     size, random = 1 << BITS, np.random.default_rng(seed)
     z, n, w = np.zeros(size), np.zeros(size), np.zeros(size)
     share = np.clip(np.cumsum(np.bincount(grades, minlength=GRADES))[:-1] / len(grades), 0.02, 0.98)
@@ -67,8 +74,8 @@ def fit(rows: list[list[int]], grades: np.ndarray, seed: int = 1) -> CumulativeL
             index = np.concatenate([flat[ends[i] - lengths[i] : ends[i]] for i in part])
             owner = np.repeat(np.arange(len(part)), lengths[part])
             used = np.unique(index)
-            w[used] = np.where(np.abs(z[used]) <= L1, 0, -(z[used] - np.sign(z[used]) * L1) / ((1 + np.sqrt(n[used])) / RATE + L2))
-            score = np.bincount(owner, w[index], len(part))
+            w[used] = np.where(np.abs(z[used]) <= l1, 0, -(z[used] - np.sign(z[used]) * l1) / ((1 + np.sqrt(n[used])) / RATE + L2))
+            score = np.bincount(owner, (w * rarity)[index], len(part))
             y = grades[part]
             edges = np.concatenate([[-np.inf], theta, [np.inf]])
             with np.errstate(over="ignore"):
@@ -76,7 +83,7 @@ def fit(rows: list[list[int]], grades: np.ndarray, seed: int = 1) -> CumulativeL
             p = np.maximum(upper - lower, 1e-9)
             up, low = upper * (1 - upper) / p, lower * (1 - lower) / p
             by_score = up - low  # of the loss -log p
-            g = np.bincount(index, by_score[owner], size)[used]
+            g = (np.bincount(index, by_score[owner], size) * rarity)[used]
             z[used] += g - (np.sqrt(n[used] + g * g) - np.sqrt(n[used])) / RATE * w[used]
             n[used] += g * g
             for k in range(GRADES - 1):
@@ -84,8 +91,8 @@ def fit(rows: list[list[int]], grades: np.ndarray, seed: int = 1) -> CumulativeL
                 steps[k] += slope * slope
                 theta[k] -= 0.1 * slope / np.sqrt(steps[k])
             theta = np.maximum.accumulate(theta + np.arange(GRADES - 1) * 1e-6)
-    w = np.where(np.abs(z) <= L1, 0, -(z - np.sign(z) * L1) / ((1 + np.sqrt(n)) / RATE + L2))
-    return CumulativeLink(w.astype(np.float32), theta)
+    w = np.where(np.abs(z) <= l1, 0, -(z - np.sign(z) * l1) / ((1 + np.sqrt(n)) / RATE + L2))
+    return CumulativeLink((w * rarity).astype(np.float32), theta)
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,7 +108,7 @@ def _score(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]
         scores = np.array([m.weights[features(t.as_py(), memo)].sum() for t in batch.column(1)], float)
         p = m.probabilities(scores)
         expected = p @ np.arange(GRADES)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(expected), pa.array(p[:, -1]), pa.array(p[:, -1] >= 0.5)], ["doc_id", "expected_grade", "tail_probability", "selected"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(expected), pa.array(p[:, -1]), pa.array(p[:, -1] >= TAIL)], ["doc_id", "expected_grade", "tail_probability", "selected"])
 
 
 def grades(labels: DataFrame) -> DataFrame:
@@ -125,7 +132,7 @@ def train(docs: DataFrame, rated: DataFrame, limit: int = TRAIN_DOCS):
 
 
 def classify(docs: DataFrame, rated: DataFrame, limit: int = TRAIN_DOCS) -> DataFrame:
-    """One row per row of docs: doc_id, expected_grade (0 to 2), tail_probability (of grade 2), selected (0.5 or more).
+    """One row per row of docs: doc_id, expected_grade (0 to 2), tail_probability (of grade 2), selected (TAIL or more).
 
     A null text counts as empty. Null doc_ids and repeated rows are scored like any other. Without rated
     documents the figures are null and nothing is selected. Only doc_id and text of docs are read.
