@@ -1,4 +1,7 @@
 """All registered queries outside the training-data subpackage."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from paperloom.plans import decide
+
+MODULES = (decide,)
+QUERIES: dict = {name: f for m in MODULES for name, f in m.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
