@@ -29,17 +29,17 @@ def boq_cost(lines: DataFrame, current: DataFrame) -> DataFrame:
     """Bill lines (tender_id, line, key, quantity) with price, cost and PRICED or PRICE_UNAVAILABLE; money is rounded to cents in totals only."""
     rows = lines.join(current.select("key", "price"), "key", "left")
     status = F.when(F.col("price").isNull(), "PRICE_UNAVAILABLE").otherwise("PRICED")
-    return rows.select("tender_id", "line", "key", "quantity", "price", (F.col("quantity") * F.col("price")).cast("decimal(24,10)").cast("double").alias("cost"), status.alias("status"))
+    return rows.select("tender_id", "line", "key", "quantity", "price", (F.col("quantity") * F.col("price")).alias("cost"), status.alias("status"))
 
 
 def cost_by(costs: DataFrame, *keys: str) -> DataFrame:
     """Totals by tender and currency; nothing is converted."""
-    return costs.groupBy(*keys).agg(F.sum(F.col("cost").cast("decimal(24,10)")).cast("decimal(20,2)").cast("double").alias("total"), F.count("price").alias("priced"), F.count_if(F.col("price").isNull()).alias("unpriced"))
+    return costs.groupBy(*keys).agg(F.sum(F.col("cost").cast("decimal(24,8)")).cast("decimal(20,2)").cast("double").alias("total"), F.count("price").alias("priced"), F.count_if(F.col("price").isNull()).alias("unpriced"))
 
 
 def bulk_materials(costs: DataFrame, bulk: DataFrame) -> DataFrame:
     """Keys in two tenders or more: tenders, quantity, cost, cost at the bulk price, difference."""
-    per = costs.groupBy("key", "tender_id").agg(F.sum("quantity").alias("quantity"), F.sum(F.col("cost").cast("decimal(24,10)")).alias("cost"))
+    per = costs.groupBy("key", "tender_id").agg(F.sum("quantity").alias("quantity"), F.sum(F.col("cost").cast("decimal(24,8)")).alias("cost"))
     rows = per.groupBy("key").agg(F.count(F.lit(1)).alias("tenders"), F.sum("quantity").alias("quantity"), F.sum("cost").cast("decimal(20,2)").cast("double").alias("cost")).where("tenders >= 2")
     rows = rows.join(bulk.select("key", "bulk_price"), "key", "left").withColumn("scenario", F.col("quantity") * F.col("bulk_price"))
     return rows.select("key", "tenders", "quantity", "cost", "bulk_price", "scenario", (F.col("cost") - F.col("scenario")).alias("difference"))

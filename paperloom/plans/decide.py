@@ -175,7 +175,7 @@ n AS (SELECT p.* FROM p JOIN f USING (key, supplier, price_date)),
 c AS (SELECT key, price, supplier, price_date FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY min_qty, price, supplier, offer, line) AS nth FROM n) WHERE nth = 1),
 d AS (SELECT l_partkey AS key, sum(l_quantity) AS quantity FROM lineitem GROUP BY 1),
 b AS (SELECT key, d.quantity, min(price) AS bulk_price FROM d JOIN n USING (key) WHERE min_qty > 0 AND min_qty <= d.quantity GROUP BY 1, 2),
-x AS (SELECT l_orderkey AS tender_id, l_linenumber AS line, l_partkey AS key, l_quantity AS quantity, price, (l_quantity * price)::DECIMAL(24,10)::DOUBLE AS cost, CASE WHEN price IS NULL THEN 'PRICE_UNAVAILABLE' ELSE 'PRICED' END AS status FROM lineitem LEFT JOIN (SELECT * FROM c WHERE key % 10 <> 0) c ON key = l_partkey)"""
+x AS (SELECT l_orderkey AS tender_id, l_linenumber AS line, l_partkey AS key, l_quantity AS quantity, price, l_quantity * price AS cost, CASE WHEN price IS NULL THEN 'PRICE_UNAVAILABLE' ELSE 'PRICED' END AS status FROM lineitem LEFT JOIN (SELECT * FROM c WHERE key % 10 <> 0) c ON key = l_partkey)"""
 
 
 def _prices(spark, sf):
@@ -206,12 +206,12 @@ def boq_cost(spark, sf):
     return _costs(spark, sf)
 
 
-@query(f"WITH {PRICES} SELECT (key % 3)::BIGINT AS currency, sum(cost::DECIMAL(24,10))::DECIMAL(20,2)::DOUBLE AS total, count(price) AS priced, count(*) FILTER (price IS NULL) AS unpriced FROM x GROUP BY 1")
+@query(f"WITH {PRICES} SELECT (key % 3)::BIGINT AS currency, sum(cost::DECIMAL(24,8))::DECIMAL(20,2)::DOUBLE AS total, count(price) AS priced, count(*) FILTER (price IS NULL) AS unpriced FROM x GROUP BY 1")
 def cost_by_currency(spark, sf):
     return materials.cost_by(_costs(spark, sf).withColumn("currency", F.col("key") % 3), "currency")
 
 
-@query(f"""WITH {PRICES}, y AS (SELECT key, count(DISTINCT tender_id) AS tenders, sum(quantity) AS quantity, sum(cost::DECIMAL(24,10))::DECIMAL(20,2)::DOUBLE AS cost FROM x GROUP BY 1 HAVING count(DISTINCT tender_id) >= 2)
+@query(f"""WITH {PRICES}, y AS (SELECT key, count(DISTINCT tender_id) AS tenders, sum(quantity) AS quantity, sum(cost::DECIMAL(24,8))::DECIMAL(20,2)::DOUBLE AS cost FROM x GROUP BY 1 HAVING count(DISTINCT tender_id) >= 2)
 SELECT y.*, bulk_price, y.quantity * bulk_price AS scenario, cost - y.quantity * bulk_price AS difference FROM y LEFT JOIN b USING (key)""")
 def bulk_materials(spark, sf):
     return materials.bulk_materials(_costs(spark, sf), bulk_price(spark, sf))
