@@ -51,7 +51,7 @@ def shuffled(*key: F.Column) -> F.Column:
     return F.md5(F.concat_ws("/", *[F.coalesce(k.cast("string"), F.lit("null")) for k in key]))
 
 
-def running_total(df: DataFrame, group: list[str], order: list[str], value: str, out: str, rows: int, per_slice: int = 20_000) -> DataFrame:
+def running_total(df: DataFrame, group: list[str], order: list[str], value: str, out: str, rows: int, per_slice: int = 4_000) -> DataFrame:
     """Add out: the sum of value up to and including each row, within group by order.
 
     order[0] must hold an MD5 in hex. Its head deals each group into slices of about per_slice rows or
