@@ -70,6 +70,19 @@ def running_total(df: DataFrame, group: list[str], order: list[str], value: str,
     return joined.drop("__slice", "__before")
 
 
+def first_of_each(rows: DataFrame, key: str, limit: int, slices: int = 256) -> DataFrame:
+    """(doc_id, key) of at most limit rows of each key, the first by MD5 of doc_id; rows without doc_id are left out.
+
+    Each key is first cut to limit rows in each of its slices by MD5, so that no task sees a whole hot key.
+    """
+    rows = rows.where("doc_id is not null").select("doc_id", key).distinct().withColumn("__pos", F.md5(F.col("doc_id").cast("string")))
+    rows = rows.withColumn("__slice", F.conv(F.substring("__pos", 1, 4), 16, 10).cast("int") % slices)
+    order = ["__pos", "doc_id"]
+    rows = rows.withColumn("__nth", F.row_number().over(Window.partitionBy(key, "__slice").orderBy(*order))).where(F.col("__nth") <= limit)
+    rows = rows.withColumn("__nth", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("__nth") <= limit)
+    return rows.select("doc_id", key)
+
+
 def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id is in kept; of rows alike in doc_id and text, one.
 

@@ -15,10 +15,10 @@ from functools import cache, partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm._shared import documents, shared_table
+from paperloom.llm._shared import documents, first_of_each, shared_table
 
 #: The models are fitted on at most so many labelled documents of each language, the first by MD5 of doc_id.
 TRAIN_DOCS = 2000
@@ -173,9 +173,7 @@ def train(docs: DataFrame, limit: int = TRAIN_DOCS):
     None if no labelled document has a letter.
     """
     spark = docs.sparkSession
-    order = F.md5(F.col("doc_id").cast("string"))
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy(order, "doc_id"))
-    chosen = docs.where("lang is not null and text is not null").select("doc_id", "lang").withColumn("nth", nth).where(F.col("nth") <= limit).select("doc_id").distinct()
+    chosen = first_of_each(docs.where("lang is not null and text is not null"), "lang", limit).select("doc_id").distinct()
     sample = docs.where("lang is not null and text is not null").select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id")
     sample = shared_table(sample, "labelled").select("lang", "text", "doc_id")
     grams = sample.select("lang", "text").mapInArrow(_count, "lang string, gram long, n long")

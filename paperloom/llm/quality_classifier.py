@@ -14,10 +14,10 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm._shared import documents, shared_table
+from paperloom.llm._shared import documents, first_of_each, shared_table
 
 #: The fit takes at most so many rated documents of each grade, the first by MD5 of doc_id.
 TRAIN_DOCS, BITS, GRADES = 4000, 18, 3
@@ -120,8 +120,7 @@ def grades(labels: DataFrame) -> DataFrame:
 def train(docs: DataFrame, rated: DataFrame, limit: int = TRAIN_DOCS):
     """A broadcast CumulativeLink of at most limit documents of each grade; None without any. rated: doc_id, grade."""
     spark = docs.sparkSession
-    nth = F.row_number().over(Window.partitionBy("grade").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id"))
-    chosen = rated.select("doc_id", "grade").withColumn("nth", nth).where(F.col("nth") <= limit).select("doc_id", F.col("grade").cast("int"))
+    chosen = first_of_each(rated, "grade", limit).select("doc_id", F.col("grade").cast("int"))
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("grade", "text")
     rows = shared_table(sample.mapInArrow(_features, "grade int, features array<int>"), "rated").toPandas()
     if rows.empty:
