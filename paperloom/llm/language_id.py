@@ -10,7 +10,7 @@ document is rejected.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache, partial
 
 import numpy as np
@@ -25,6 +25,8 @@ TRAIN_DOCS = 2000
 ORDER, UNKNOWN = 3, "und"
 #: Rejection lies at this quantile of the training documents' standardised excess, times the slack.
 QUANTILE, SLACK = 0.999, 3.0
+#: Characters scored at a time.
+PART = 400_000
 
 
 @cache
@@ -119,30 +121,51 @@ class Model:
             out[lost] = low + np.where((self.contexts[at] == context)[:, None], self.back3[at], 0)
         return -out
 
-    def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Characters scored in each text, and nats a character by language; 0 characters: no letter."""
-        runs = [letters(t) for t in texts]
-        n = np.array([max(len(r) - 1, 0) for r in runs])
-        sums = np.zeros((len(texts), len(self.langs)))
-        some = np.flatnonzero(n)
-        at = 0
-        while at < len(some):  # by about a million characters
-            stop = at + max(1, int(np.searchsorted(np.cumsum(n[some[at:]]), 1_000_000)))
-            part = some[at:stop]
-            points = np.concatenate([x for k in part for x in ([32], runs[k])])
-            found = self.surprisal(points)
-            begins = np.cumsum([0, *(n[part] + 2)[:-1]])
+    def entropies(self, texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Characters scored in each text, and nats a character by language; 0 characters: no letter.
+
+        Texts are scored PART characters at a time, long ones in overlapping parts, so that memory stays bounded.
+        """
+        n: list[int] = []
+        sums: list[np.ndarray] = []
+        held: list[np.ndarray] = []
+        owners: list[int] = []
+
+        def flush() -> None:
+            found = self.surprisal(np.concatenate(held))
+            begins = np.cumsum([0, *map(len, held)][:-1])
             keep = np.ones(len(found), bool)
             keep[np.concatenate([begins[1:] - 1, begins[1:] - 2])] = False
-            sums[part] = np.add.reduceat(found[keep], np.cumsum([0, *n[part][:-1]]), axis=0)
-            at = stop
-        return n, sums / np.maximum(n, 1)[:, None]
+            sizes = [len(h) - 2 for h in held]
+            for owner, total in zip(owners, np.add.reduceat(found[keep].astype(float), np.cumsum([0, *sizes[:-1]]), axis=0)):
+                sums[owner] += total
+            held.clear()
+            owners.clear()
+
+        waiting = 0
+        for text in texts:
+            points = letters(text)
+            n.append(max(len(points) - 1, 0))
+            sums.append(np.zeros(len(self.langs)))
+            if len(points):
+                points = np.concatenate([[32], points])
+            for at in range(0, len(points) - 2, PART):
+                held.append(points[at : at + PART + 2])
+                owners.append(len(n) - 1)
+                waiting += len(held[-1])
+                if waiting >= PART:
+                    flush()
+                    waiting = 0
+        if held:
+            flush()
+        count = np.array(n, np.int64)
+        return count, np.array(sums).reshape(len(n), len(self.langs)) / np.maximum(count, 1)[:, None]
 
 
 def _score(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
     m = model.value
     for batch in batches:
-        n, nats = m.entropies(batch.column(1).to_pylist())
+        n, nats = m.entropies(t.as_py() for t in batch.column(1))
         best = nats.argmin(axis=1)
         least = nats.min(axis=1)
         gap = (nats - least[:, None]) * np.minimum(n, 200)[:, None]
@@ -153,6 +176,12 @@ def _score(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(score), pa.array(n, pa.int64()), pa.array(least), pa.array((n > 0) & (excess <= limit))], ["doc_id", "lang_pred", "score", "n_scored", "nats", "accepted"])
 
 
+def _accepted(batches: Iterator[pa.RecordBatch], at: int, model) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        plain = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), batch.column(at)], ["doc_id", "text"])
+        yield batch.filter(next(_score(iter([plain]), model)).column(5))
+
+
 SCORED = "doc_id long, lang_pred string, score double, n_scored long, nats double, accepted boolean"
 
 
@@ -215,18 +244,14 @@ def identify(docs: DataFrame) -> DataFrame:
 def accepted_documents(docs: DataFrame) -> DataFrame:
     """docs without those that the models reject; all columns, the text scored where it lies.
 
-    The test is a column of the same rows, so nothing is joined or shuffled.
+    Rows are tested as they pass, so nothing is joined or shuffled.
     """
     model = train(docs.where(F.coalesce(~held_out(), F.lit(True))))
     if model is None:
         return docs.limit(0)
 
-    @F.pandas_udf("boolean")
-    def known(texts):
-        batch = pa.RecordBatch.from_arrays([pa.nulls(len(texts), pa.int64()), pa.array(texts, pa.string(), from_pandas=True)], ["doc_id", "text"])
-        return next(_score(iter([batch]), model)).column(5).to_pandas()
-
-    return docs.where(known(F.col("text").cast("string")))
+    at = docs.columns.index("text")
+    return docs.mapInArrow(partial(_accepted, at=at, model=model), docs.schema)
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
