@@ -72,20 +72,21 @@ def missing_evidence(statuses: DataFrame, lookup: DataFrame) -> DataFrame:
     return rows.select("tender_id", "line", "category", "status", F.coalesce("priority", F.when(F.col("mandatory"), "HIGH").otherwise("MEDIUM")).alias("priority"), F.coalesce("owner", F.lit("Bid manager")).alias("owner"))
 
 
-#: Rank of a status in lists of gaps.
-RANK = F.create_map(*[F.lit(x) for kv in (("FAIL", 0), ("REVIEW", 1), ("MISSING_EVIDENCE", 2), ("PASS", 3)) for x in kv])
+def rank() -> Column:
+    """Rank of a status in lists of gaps."""
+    return F.element_at(F.create_map(*[F.lit(x) for kv in (("FAIL", 0), ("REVIEW", 1), ("MISSING_EVIDENCE", 2), ("PASS", 3)) for x in kv]), F.col("status"))
 
 
 def gap_list(statuses: DataFrame, most: int = 15) -> DataFrame:
     """The first rows of each tender that are not PASS: FAIL, REVIEW, MISSING_EVIDENCE, then by line."""
-    order = Window.partitionBy("tender_id").orderBy(RANK[F.col("status")], "line")
+    order = Window.partitionBy("tender_id").orderBy(rank(), "line")
     rows = statuses.where("status <> 'PASS'").withColumn("position", F.row_number().over(order))
     return rows.where(F.col("position") <= most).select("tender_id", "position", "line", "category", "status")
 
 
 def decision_detail(statuses: DataFrame) -> DataFrame:
     """All rows of each tender in reading order: mandatory first, then by status rank, category and line."""
-    order = Window.partitionBy("tender_id").orderBy(F.col("mandatory").desc(), RANK[F.col("status")], "category", "line")
+    order = Window.partitionBy("tender_id").orderBy(F.col("mandatory").desc(), rank(), "category", "line")
     return statuses.select("tender_id", "line", "category", "mandatory", "status", F.row_number().over(order).alias("position"))
 
 

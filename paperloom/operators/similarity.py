@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -26,17 +28,19 @@ def jaccard_pairs(rows: DataFrame, least: float) -> DataFrame:
     return pairs.select("block", "a", "b", F.bround(similarity, 6).alias("similarity")).where(F.col("similarity") >= least)
 
 
+def checkpoint_folder(spark: SparkSession) -> None:
+    """Checkpoints go to the folder in spark.checkpoint.dir; to one of our own only where none is set."""
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+
+
 def clusters(nodes: DataFrame, links: DataFrame, label: str = "cluster") -> DataFrame:
     """nodes (id) with the least id of their single-link cluster over links (a, b).
 
     Labels are passed along links and jump to the label of the label, until nothing changes; each round is
     checkpointed in the folder that spark.checkpoint.dir names.
     """
-    spark = nodes.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    checkpoint_folder(nodes.sparkSession)
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
     state = nodes.select("id", F.col("id").alias(label)).checkpoint()
     while True:
@@ -55,6 +59,8 @@ def leaders(rows: DataFrame, links: DataFrame) -> DataFrame:
     links: (a, b) with a < b. In each round a row becomes a leader when every earlier neighbour is decided and
     none is a leader, and is absorbed as soon as its first leader is known to be the first.
     """
+    checkpoint_folder(rows.sparkSession)
+    links = links.select("a", "b").checkpoint()
     state = rows.select("id", F.lit(None).cast("long").alias("leader"))
     if links.isEmpty():
         return rows.select("id", F.col("id").alias("leader"))

@@ -1,7 +1,7 @@
 """All registered queries outside the training-data subpackage."""
 
-from paperloom.plans import decide, texts
+from paperloom.plans import decide, streams, texts
 
-MODULES = (decide, texts)
+MODULES = (decide, texts, streams)
 QUERIES: dict = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
