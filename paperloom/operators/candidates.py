@@ -16,15 +16,15 @@ def discover(pages: DataFrame) -> DataFrame:
     """
     tiny = F.length(F.trim("text")) < T.TINY_PARENT
     skipped = pages.where(tiny).select("document", "page", F.lit(0).alias("line"), F.lit(0).alias("n"), F.lit("").alias("sentence"), F.lit("").alias("signals"), F.lit("SKIPPED_TINY_INPUT").alias("reason"), F.lit(None).cast("int").alias("seq"))
-    rows = pages.where(~tiny).select("document", "page", F.inline(T.sentences(F.col("text")))).withColumn("hits", T.signals(F.col("sentence")))
+    held = pages.where(~tiny).select("document", "page", F.inline(T.sentences(F.col("text")))).withColumn("hits", T.signals(F.col("sentence")))
     hits = F.size("hits")
     reason = F.when(F.length("sentence") < T.LEAST_CHARS, "REJECTED_TINY").when(T.printable_ratio(F.col("sentence")) < T.LEAST_PRINTABLE, "REJECTED_OCR_GARBAGE").when(hits == 0, "REJECTED_NO_SIGNAL").when(hits > T.MOST_SIGNALS, "REJECTED_MIXED_MULTI")
-    rows = rows.withColumn("reason", reason).withColumn("signals", F.array_join("hits", ",")).drop("hits")
-    order = Window.partitionBy("document", "page").orderBy("line", "n")
-    taken = rows.where("reason is null").withColumn("seq", F.row_number().over(order))
-    taken = taken.withColumn("reason", F.when(F.col("seq") > T.MOST_ACCEPTED, "over_parent_cap")).withColumn("seq", F.when(F.col("seq") <= T.MOST_ACCEPTED, F.col("seq")))
-    columns = skipped.columns
-    return skipped.select(columns).union(rows.where("reason is not null").withColumn("seq", F.lit(None).cast("int")).select(columns)).union(taken.select(columns))
+    held = held.withColumn("reason", reason).withColumn("signals", F.array_join("hits", ",")).drop("hits")
+    order = Window.partitionBy("document", "page", F.col("reason").isNull()).orderBy("line", "n")
+    held = held.withColumn("seq", F.when(F.col("reason").isNull(), F.row_number().over(order)))
+    over = F.col("seq") > T.MOST_ACCEPTED
+    held = held.withColumn("reason", F.when(over, "over_parent_cap").otherwise(F.col("reason"))).withColumn("seq", F.when(~over, F.col("seq")))
+    return skipped.union(held.select(skipped.columns))
 
 
 def exact_duplicates(candidates: DataFrame) -> DataFrame:
