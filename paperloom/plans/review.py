@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as T
-from paperloom.operators import changes, facts, notices, review
+from paperloom.operators import changes, facts, notices, pages, review, tables
 from paperloom.plans import decide, texts
 from paperloom.sources.tables import AS_OF, requirements, risks, table, with_sql
 
@@ -45,9 +45,10 @@ def _notices(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select(F.col("o_orderkey").alias("id"), kind.alias("work_type"), kv.alias("kv"), F.col("n_name").alias("country"), F.when(F.col("o_orderkey") % 7 > 0, F.to_date("o_orderdate")).alias("deadline"))
 
 
-@query(f"WITH {RADAR} SELECT * FROM radar")
+@query(f"WITH {RADAR} SELECT id, match, status, days_left::DOUBLE AS days_left FROM radar")
 def notice_radar(spark, sf):
-    return notices.radar(_notices(spark, sf), CAPABILITY, AS_OF)
+    rows = notices.radar(_notices(spark, sf), CAPABILITY, AS_OF)
+    return rows.withColumn("days_left", F.col("days_left").cast("double"))
 
 
 @query(f"WITH {RADAR} SELECT count(*) AS total, count(*) FILTER (status = 'STRONG') AS strong, count(*) FILTER (days_left BETWEEN 0 AND 7) AS closing FROM radar")
@@ -289,3 +290,88 @@ def tender_export(spark, sf):
 def synthesis_counts(spark, sf):
     rows = decide.statuses(spark, sf)
     return rows.groupBy("category").agg(F.count(F.lit(1)).alias("requirements"), F.count_if("mandatory").alias("mandatory"), F.count_if(F.col("status").isin("MISSING_EVIDENCE", "REVIEW")).alias("open"))
+
+
+# ---- tables inside text
+
+BILLS = """bl AS (SELECT l_orderkey AS document, l_linenumber AS item, concat(p_name, ' ', p_partkey) AS description, CASE WHEN p_size % 4 = 0 THEN 'km' ELSE 'No' END AS unit, l_quantity::DECIMAL(14,2) AS quantity, (l_extendedprice)::DECIMAL(14,2) AS price FROM lineitem JOIN part ON p_partkey = l_partkey)"""
+
+
+def _bills(spark, sf) -> DataFrame:
+    part = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_size")
+    rows = table(spark, sf, "lineitem").join(part, "l_partkey")
+    unit = F.when(F.col("p_size") % 4 == 0, "km").otherwise("No")
+    return rows.select(F.col("l_orderkey").alias("document"), F.col("l_linenumber").alias("item"), F.concat("p_name", F.lit(" "), "l_partkey").alias("description"), unit.alias("unit"), F.col("l_quantity").cast("decimal(14,2)").alias("quantity"), F.col("l_extendedprice").cast("decimal(14,2)").alias("price"))
+
+
+def _pages_of(rows: DataFrame, head: str, other: str, line, other_line) -> DataFrame:
+    """One page of text a document: a title, a header, its rows; odd documents have their columns in another order."""
+    odd = F.col("document") % 2 == 1
+    body = rows.groupBy("document").agg(F.array_join(F.array_sort(F.collect_list(F.when(odd, other_line).otherwise(line))), "\n").alias("body"))
+    return body.select("document", F.lit(1).alias("page"), F.concat(F.lit("Schedule of work | to be | priced\n"), F.when(odd, other).otherwise(head), F.lit("\n"), "body", F.lit("\nTotal | | ")).alias("text"))
+
+
+@query(f"WITH {BILLS} SELECT document, item::VARCHAR AS item, description, CASE WHEN unit = 'km' THEN 'm' ELSE 'no' END AS unit, quantity::DOUBLE * CASE WHEN unit = 'km' THEN 1000 ELSE 1 END AS quantity FROM bl WHERE quantity > 0")
+def boq_lines(spark, sf):
+    line = F.concat_ws(" | ", "item", "description", "unit", "quantity")
+    other = F.concat_ws(" | ", "quantity", F.lit("x"), "description", "unit", "item")
+    found = tables.boq_lines(_pages_of(_bills(spark, sf), "Item | Description | Unit | Qty", "Quantity | Note | Item  description | UOM | No", line, other))
+    return found.select("document", "item", "description", "unit", "quantity")
+
+
+@query(f"WITH {BILLS} SELECT document, description, CASE WHEN unit = 'km' THEN 'm' ELSE 'no' END AS unit, price::DOUBLE / CASE WHEN unit = 'km' THEN 1000 ELSE 1 END AS price, CASE WHEN document % 2 = 1 THEN 'USD' ELSE 'EGP' END AS currency, CASE WHEN document % 2 = 1 THEN quantity::DOUBLE ELSE 0.0 END AS min_qty FROM bl WHERE price > 0")
+def price_list_rows(spark, sf):
+    line = F.concat_ws(" | ", "description", "unit", "price")
+    other = F.concat_ws(" | ", "quantity", F.lit("usd dollar"), "description", "unit", "price")
+    found = tables.price_rows(_pages_of(_bills(spark, sf), "Product | Unit | Rate", "Min qty | Currency | Description | UOM | Net price", line, other), "EGP")
+    return found.select("document", "description", "unit", "price", "currency", "min_qty")
+
+
+@query(f"WITH {BILLS}, ce AS (SELECT document, item::VARCHAR AS item, description, quantity::VARCHAR AS q FROM bl) SELECT document, 'item' AS name, item AS cell FROM ce UNION ALL SELECT document, 'description', description FROM ce UNION ALL SELECT document, 'col_3', q FROM ce")
+def sheet_rows(spark, sf):
+    body = _bills(spark, sf).groupBy("document").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(",", "item", "description", "quantity"))), "\n").alias("body"))
+    return tables.sheet_rows(body.select("document", F.concat(F.lit("\n,,\nitem,description,\n"), "body", F.lit("\n , ,\n")).alias("text"))).select("document", "name", "cell")
+
+
+@query(texts.LINES + "SELECT document, page, lower(line) AS label, nl AS value FROM (SELECT *, lead(line) OVER k AS nl, lead(pos) OVER k AS np FROM ln WINDOW k AS (PARTITION BY document, page ORDER BY pos)) WHERE lower(line) IN ('tender document package', 'section 4 - commercial', 'part ii') AND np - pos <= 30")
+def label_values(spark, sf):
+    return tables.label_values(pages.lines(texts.page_rows(spark, sf)), ("TENDER DOCUMENT PACKAGE", "Section 4 - Commercial", "PART II"))
+
+
+@query("SELECT doc_id AS document, sha1(text) AS digest, CASE WHEN doc_id % 5 = 0 OR doc_id % 7 = 0 OR doc_id % 4 = 0 AND (doc_id % 3 = 0 OR doc_id % 6 < 3) THEN 'READ' ELSE 'REUSE' END AS action FROM documents WHERE text IS NOT NULL")
+def read_plan(spark, sf):
+    docs, i = table(spark, sf, "documents").where("text is not null"), F.col("doc_id")
+    files = docs.select(i.alias("document"), F.col("text").alias("content"))
+    known = docs.where("doc_id % 5 <> 0").select(i.alias("document"), F.sha1(F.when(i % 7 == 0, F.concat("text", F.lit("."))).otherwise(F.col("text"))).alias("digest"), F.when(i % 3 == 0, "v1").otherwise("v2").alias("tools"), (i % 4 == 0).alias("failed"), F.when(i % 6 < 3, 1).otherwise(2).alias("failed_reads"))
+    return tables.read_plan(files, known, "v2")
+
+
+@query(rf"""WITH {texts.PAGES}, s AS (SELECT document, page, 'currency' AS slot, regexp_extract(text, '\b(SAR|USD|EGP|AED|EUR)\b', 1) AS value FROM pages_ UNION ALL SELECT document, page, 'validity', regexp_extract(text, '(?i)(valid[^.\n]{{0,60}}?\d+\s+days?)', 1) FROM pages_)
+SELECT document, slot, arg_min(value, page) AS value, min(page) AS page FROM s WHERE value <> '' GROUP BY 1, 2""")
+def commercial_slots(spark, sf):
+    return tables.commercial_slots(texts.page_rows(spark, sf))
+
+
+ELIGIBLE = f"""{NOTICE}, el AS (SELECT id AS tender_id, 'work_type' AS "check", CASE WHEN work_type IS NULL THEN 'UNCLEAR' WHEN work_type IN ('substation', 'cable') THEN 'PASS' ELSE 'FAIL' END AS result FROM nt
+UNION ALL SELECT id, 'voltage', CASE WHEN kv IS NULL THEN 'UNCLEAR' WHEN kv <= 220 THEN 'PASS' ELSE 'FAIL' END FROM nt
+UNION ALL SELECT id, 'country', CASE WHEN country IS NULL THEN 'UNCLEAR' WHEN country IN ('NATION_1', 'NATION_2', 'NATION_3', 'NATION_5') THEN 'PASS' ELSE 'FAIL' END FROM nt
+UNION ALL SELECT id, 'certifications', CASE WHEN id % 2 = 0 THEN 'FAIL' ELSE 'PASS' END FROM nt WHERE id % 3 > 0)"""
+
+
+@query(f"WITH {ELIGIBLE} SELECT * FROM el")
+def eligibility_checks(spark, sf):
+    demanded = F.when(F.col("id") % 3 == 0, F.array().cast("array<string>")).when(F.col("id") % 2 == 0, F.array(F.lit("ISO 9001"), F.lit("ISO 27001"))).otherwise(F.array(F.lit("ISO 9001")))
+    rows = _notices(spark, sf).select(F.col("id").alias("tender_id"), "work_type", "kv", "country", demanded.alias("demanded"))
+    return tables.eligibility(rows, CAPABILITY | {"certifications": ["ISO 9001", "ISO 14001"]})
+
+
+@query(f"WITH {ELIGIBLE} SELECT tender_id, count(*) FILTER (result = 'PASS') AS met, count(*) FILTER (result = 'FAIL') AS failed, count(*) FILTER (result = 'UNCLEAR') AS unclear, count(*) AS total, round_even(100.0::DOUBLE * count(*) FILTER (result = 'PASS') / count(*), 0)::BIGINT AS percent FROM el GROUP BY 1")
+def eligibility_score(spark, sf):
+    return tables.eligibility_score(eligibility_checks(spark, sf))
+
+
+@query(texts.ALL + f"""SELECT name, who, count(*) AS demands, bool_and(opt) AS optional, min(page) AS first_page, CASE WHEN who = 'partner' THEN 'PARTNER_NEEDED' WHEN name = '9001' THEN 'HELD' ELSE 'MISSING' END AS status
+FROM (SELECT page, unnest(list_distinct(regexp_extract_all(sentence, '{T.ISO}', 1))) AS name, CASE WHEN regexp_matches(sentence, '(?i)manufacturer|subcontractor|supplier') THEN 'partner' ELSE 'company' END AS who, regexp_matches(sentence, '(?i)preferabl|optional|desirable') AS opt FROM sent) GROUP BY 1, 2""")
+def certificate_demands(spark, sf):
+    rows = texts.page_rows(spark, sf).select("document", "page", F.inline(T.sentences(F.col("text"))))
+    return tables.certificate_demands(rows, T.ISO, ("9001",))

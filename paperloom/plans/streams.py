@@ -46,3 +46,9 @@ def stream_dedup_upsert(spark, sf):
 @query()
 def stream_timeouts(spark, sf):
     return S.finished(S.dead_jobs(_stream(spark, sf)), "append")
+
+
+@query("""SELECT user_id, make_timestamp((floor(epoch(ts) / 300)::BIGINT * 300 - back) * 1000000) AS start, count(*) AS events FROM events, (VALUES (0), (300), (600)) v(back) GROUP BY 1, 2 HAVING count(*) > 1""")
+def stream_sliding_limit(spark, sf):
+    rows = S.finished(S.sliding_limit(_stream(spark, sf), most=1), "complete")
+    return rows.withColumn("start", F.col("start").cast("timestamp_ntz"))
