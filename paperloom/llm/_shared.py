@@ -70,13 +70,18 @@ def running_total(df: DataFrame, group: list[str], order: list[str], value: str,
     return joined.drop("__slice", "__before")
 
 
-def first_of_each(rows: DataFrame, key: str, limit: int, slices: int = 256) -> DataFrame:
+def first_of_each(rows: DataFrame, key: str, limit: int) -> DataFrame:
     """(doc_id, key) of at most limit rows of each key, the first by MD5 of doc_id; rows without doc_id are left out.
 
-    Each key is first cut to limit rows in each of its slices by MD5, so that no task sees a whole hot key.
+    The head of the MD5 deals each key into 4,096 bins in order. Bins are counted first, and only those that start
+    below limit are kept: limit rows and one bin's. Those are cut to limit in each of 256 slices of a key, then in
+    the key, so that no task sees a whole hot key whatever the input.
     """
-    rows = rows.where("doc_id is not null").select("doc_id", key).distinct().withColumn("__pos", F.md5(F.col("doc_id").cast("string")))
-    rows = rows.withColumn("__slice", F.conv(F.substring("__pos", 1, 4), 16, 10).cast("int") % slices)
+    rows = rows.where(F.col("doc_id").isNotNull() & F.col(key).isNotNull()).select("doc_id", key).distinct().withColumn("__pos", F.md5(F.col("doc_id").cast("string")))
+    rows = rows.withColumn("__bin", F.conv(F.substring("__pos", 1, 3), 16, 10).cast("int")).withColumn("__slice", F.substring("__pos", 4, 2))
+    before = Window.partitionBy(key).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = rows.groupBy(key, "__bin").agg(F.count(F.lit(1)).alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    rows = rows.join(bins.where(F.col("__before") < limit).select(key, "__bin"), [key, "__bin"], "left_semi")
     order = ["__pos", "doc_id"]
     rows = rows.withColumn("__nth", F.row_number().over(Window.partitionBy(key, "__slice").orderBy(*order))).where(F.col("__nth") <= limit)
     rows = rows.withColumn("__nth", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("__nth") <= limit)

@@ -203,3 +203,18 @@ def test_pipeline(spark, docs):
     groups = {r.component_id for r in simhash_dedup.near_duplicates(first).collect()}
     assert ids == groups
     assert {r.doc_id for r in corpus_pipeline.run(spark, SF).select("doc_id").distinct().collect()} <= ids
+
+
+@pytest.mark.parametrize("limit", [1, 7, 40, 5000])
+def test_first_of_each_equals_brute_force(spark, limit):
+    import hashlib
+
+    from paperloom.llm._shared import first_of_each
+
+    held = [(i % 900, "hot" if i % 3 else f"k{i % 5}") for i in range(2500)] + [(None, "hot"), (1, None)]
+    want = set()
+    for key in {k for _, k in held if k}:
+        ids = sorted({d for d, k in held if k == key and d is not None}, key=lambda d: hashlib.md5(str(d).encode()).hexdigest())
+        want |= {(d, key) for d in ids[:limit]}
+    got = first_of_each(spark.createDataFrame(held, "doc_id long, key string"), "key", limit).collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
