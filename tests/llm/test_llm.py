@@ -1,7 +1,9 @@
 """The training-data operators against SQL, brute force, exact round trips and held-out labels."""
 
+import hashlib
 import random
 import re
+import textwrap
 import zlib
 
 import duckdb
@@ -58,6 +60,24 @@ def test_sql(spark, module):
         assert sorted(map(str, a[c].values.tolist())) == sorted(map(str, b[c].values.tolist()))
 
 
+def test_whole_licenses_in_any_wrapping(spark):
+    bodies = {(name, body) for name, _, body in license_scan.texts()}
+    names = {name for name, _ in bodies}
+    assert {"MIT", "ISC", "0BSD", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "MPL-2.0", "CC0-1.0"} <= names
+    rows, want = [], []
+    for name, body in sorted(bodies):
+        for width in (45, 10**9):
+            rows += ["Copyright (c) 2024 Some Body and others\n\n" + textwrap.fill(body, width), "Read me first.\nA tool. " + textwrap.fill(body, width) + " That was it."]
+            want += [(name, name), (None, name)]
+    mit = license_scan.Path(license_scan.__file__).with_name("licenses").joinpath("MIT.txt").read_text()
+    rows += [mit, " ".join(mit.split()), mit[:-20], "(c) 2024 X. Licensed under CC BY 4.0.", "One line of text © 2024 X. It goes on.", "Copyright 2020 Foo Inc. All rights reserved.\nReleased under the MIT License."]
+    want += [("MIT", "MIT"), ("MIT", "MIT"), (None, ""), ("CC-BY-4.0", "CC-BY-4.0"), (None, ""), ("MIT", "MIT")]
+    found = license_scan.scan_licenses(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), license_scan.registry(spark)).collect()
+    assert [(r.license, r.notices) for r in sorted(found, key=lambda r: r.doc_id)] == want
+    kept = {r.doc_id: r.canonical_sha256 for r in found}
+    assert kept[len(rows) - 2] == hashlib.sha256(b"one line of text it goes on").hexdigest()
+
+
 def test_exact_dedup_of_odd_rows(odd):
     got = exact_dedup.duplicate_groups(odd).toPandas()
     same = got[got.group_size == 4]
