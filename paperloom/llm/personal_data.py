@@ -9,8 +9,10 @@ patterns discover identifiers that no fixed pattern knows; their spans are added
 from __future__ import annotations
 
 import re
+from bisect import bisect
 from collections.abc import Iterator
 from functools import partial
+from hashlib import sha256
 from zlib import crc32
 
 import numpy as np
@@ -33,6 +35,15 @@ DOTTED = re.compile(r"[0-9][0-9.]*")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 TOKEN = re.compile(r"\S*[0-9@]\S*")
+#: A token that is a digit group, such as one of (555) 123 4567, and one after which no further group belongs to it.
+GROUP = re.compile(r"[(\[+]*[0-9][0-9()\[\].+/-]*[,;:!?]*")
+#: The sign between the parts of a spelt-out address, its dots, and what follows the sign.
+AT = re.compile(r"(?i)[\[({<][ \t]?(?:at|@)[ \t]?[\])}>]|(?<=[ \t])at(?=[ \t])")
+DOT = r"(?i:[ \t]dot[ \t]|[ \t]?[\[({<][ \t]?(?:dot|\.)[ \t]?[\])}>][ \t]?|\.)"
+DOT_BEFORE = re.compile(DOT + r"\Z")
+SPELT_DOMAIN = re.compile(rf"[A-Za-z0-9-]+(?:{DOT}[A-Za-z0-9-]+)+")
+#: Longer instances are known by their digest.
+LONG = 64
 EDGES = ".,;:!?()[]{}<>\"'|*#&$%"
 
 
@@ -101,23 +112,87 @@ def context(text: str, at: int) -> str:
     return " ".join(["^"] * (2 - len(words)) + words)
 
 
+def _spelt(text: str) -> Iterator[tuple[int, int]]:
+    """Addresses such as user at example dot com or user [at] example.com."""
+    done = 0
+    for m in AT.finditer(text):
+        start = m.start()
+        while start > done and text[start - 1] in " \t":
+            start -= 1
+        first = start
+        while True:
+            while first > done and text[first - 1] in LOCAL:
+                first -= 1
+            dot = DOT_BEFORE.search(text, max(done, first - 9), first)
+            if dot is None or dot.start() <= done or text[dot.start() - 1] not in LOCAL:
+                break
+            first = dot.start()
+        after = m.end()
+        while text[after : after + 1] in (" ", "\t"):
+            after += 1
+        domain = SPELT_DOMAIN.match(text, after) if first < start else None
+        if domain:
+            yield first, domain.end()
+            done = domain.end()
+
+
+def _candidates(text: str, covered: list[tuple[int, int]]) -> Iterator[tuple[int, int, int]]:
+    """(start, end, where its tokens start) of digit-group runs and other tokens with an @ or four digits that touch nothing covered."""
+
+    def trimmed(a: int, b: int) -> Iterator[tuple[int, int, int]]:
+        word = text[a:b].strip(EDGES)
+        if len(word) < 4 or "@" not in word and sum(map(str.isdigit, word)) < 4:
+            return
+        start = text.index(word, a)
+        end = start + len(word)
+        if start > a and text[start - 1] + ")]"["([".find(text[start - 1])] in ("()", "[]") and ")]"["([".index(text[start - 1])] in word:
+            start -= 1  # (555) 123
+        yield start, end, a
+
+    run: tuple[int, int] | None = None
+    i = 0
+    for m in TOKEN.finditer(text):
+        a, b = m.span()
+        while i < len(covered) and covered[i][1] <= a:
+            i += 1
+        free = i == len(covered) or covered[i][0] >= b
+        group = free and GROUP.fullmatch(text, a, b)
+        if run and group and text[run[1] - 1] not in ",;:!?" and not text[run[1] : a].strip(" \t"):
+            run = run[0], b
+            continue
+        if run:
+            yield from trimmed(*run)
+        run = (a, b) if group else None
+        if free and not group:
+            yield from trimmed(a, b)
+        elif not free:  # what a covered span leaves of its token
+            word = m.group().strip(EDGES)
+            at = a + m.group().index(word)
+            if word and (covered[i][0] >= at + len(word) or covered[i][1] <= at):
+                yield from trimmed(a, b)
+    if run:
+        yield from trimmed(*run)
+
+
 def scan(text: str | None) -> tuple[list[tuple], list[tuple]]:
     """Fixed spans, and the occurrences (kind or -1, start, end, instance, context) that can take part in bootstrapping."""
     text = text or ""
-    base = fixed_spans(text) if re.search("[0-9@]", text) else []
+    marked = re.search("[0-9@]", text)
+    base = fixed_spans(text) if marked else []
     seen = [(k, a, b, text[a:b].lower(), context(text, a)) for k, a, b in base]
-    covered = sorted((a, b) for _, a, b in base)
-    i = 0
-    for m in TOKEN.finditer(text) if re.search("[0-9@]", text) else ():
-        word = m.group().strip(EDGES)
-        if not 4 <= len(word) <= 64 or "@" not in word and sum(map(str.isdigit, word)) < 4:
-            continue
-        a = m.start() + m.group().index(word)
-        b = a + len(word)
-        while i < len(covered) and covered[i][1] <= a:
-            i += 1
-        if i == len(covered) or covered[i][0] >= b:
-            seen.append((-1, a, b, word.lower(), context(text, m.start())))
+    covered: list[tuple[int, int]] = []
+    for a, b in sorted((a, b) for _, a, b in base):
+        if covered and a < covered[-1][1]:
+            covered[-1] = covered[-1][0], max(b, covered[-1][1])
+        else:
+            covered.append((a, b))
+    free = lambda a, b: all(y <= a or x >= b for x, y in covered[max(bisect(covered, (a,)) - 1, 0) :][:2])
+    spelt = [(a, b) for a, b in _spelt(text) if free(a, b)]
+    covered = sorted(covered + spelt)
+    found = [(a, b, a) for a, b in spelt] + (list(_candidates(text, covered)) if marked else [])
+    for a, b, token in sorted(found):
+        word = text[a:b].lower()
+        seen.append((-1, a, b, word if len(word) <= LONG else sha256(word.encode("utf-8", "replace")).hexdigest(), context(text, token)))
     return base, seen
 
 
@@ -167,29 +242,45 @@ def occurrences(scanned: DataFrame) -> DataFrame:
     return rows.withColumn("pattern", F.explode(F.array(F.col("ctx"), F.element_at(F.split("ctx", " "), 2)))).drop("ctx")
 
 
-def discover(docs: DataFrame, scanned: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """row, k, start, end of the spans that trusted patterns add; a span has one kind."""
-    spark = docs.sparkSession
-    edges = shared_table(occurrences(scanned).groupBy("pattern", "inst", "k").agg(F.count(F.lit(1)).alias("n")), "edges")
-    patterns = edges.groupBy("pattern").agg(F.countDistinct("inst").alias("d"), F.max("k").alias("k")).where((F.col("d") >= SUPPORT) & (F.col("k") >= 0))
-    patterns = shared_table(patterns.select("pattern"), "patterns")
+def context_totals(docs: DataFrame, patterns: DataFrame) -> DataFrame:
+    """pattern, total: how often each of patterns stands in the texts."""
     hashed = patterns.select((F.crc32(F.col("pattern").cast("binary")) % (1 << FILTER_BITS)).alias("bit")).distinct()
     bits = np.zeros(1 << FILTER_BITS, bool)
     bits[[r["bit"] for r in hashed.collect()]] = True  # 2 ** FILTER_BITS rows at most
-    totals = docs.select(F.col("text").cast("string")).mapInArrow(partial(_contexts, bits=spark.sparkContext.broadcast(bits)), "pattern string, n long")
-    totals = totals.groupBy("pattern").agg(F.sum("n").alias("total")).join(patterns, "pattern", "left_semi")
-    graph = shared_table(edges.join(totals, "pattern"), "graph")
-    scores = graph.where("k >= 0").select("inst", F.col("k").alias("kind")).distinct().withColumn("score", F.lit(1.0))
+    totals = docs.select(F.col("text").cast("string")).mapInArrow(partial(_contexts, bits=docs.sparkSession.sparkContext.broadcast(bits)), "pattern string, n long")
+    return totals.groupBy("pattern").agg(F.sum("n").alias("total")).join(patterns, "pattern", "left_semi")
+
+
+def discover(docs: DataFrame, scanned: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """row, k, start, end of the spans that trusted patterns add; a span has one kind.
+
+    The patterns of each round are those of all instances scored so far, seeds and found. The texts are counted
+    again only for patterns that no earlier round had.
+    """
+    edges = shared_table(occurrences(scanned).groupBy("pattern", "inst", "k").agg(F.count(F.lit(1)).alias("n")), "edges")
+    # with fewer instances of any kind a pattern cannot have the support
+    many = edges.groupBy("pattern").agg(F.countDistinct("inst").alias("d")).where(F.col("d") >= SUPPORT).select("pattern")
+    graph = shared_table(edges.join(many, "pattern", "left_semi"), "graph")
+    seeds = edges.where("k >= 0").select("inst", F.col("k").alias("kind")).distinct().withColumn("score", F.lit(1.0))
+    seeds = scores = shared_table(seeds, "seeds")
+    totals = None
     for _ in range(rounds):
-        known = graph.join(scores, "inst")
-        trusted = known.groupBy("pattern", "kind").agg((F.sum(F.col("score") * F.col("n")) / F.max("total")).alias("trust"), F.countDistinct("inst").alias("support"))
-        trusted = trusted.where((F.col("trust") >= CONFIDENCE) & (F.col("support") >= SUPPORT)).select("pattern", "kind", "trust")
+        known = graph.join(scores, "inst").groupBy("pattern", "kind").agg(F.sum(F.col("score") * F.col("n")).alias("weight"), F.countDistinct("inst").alias("support"))
+        known = shared_table(known.where(F.col("support") >= SUPPORT), "known")
+        fresh = known.select("pattern").distinct()
+        fresh = shared_table(fresh if totals is None else fresh.join(totals, "pattern", "left_anti"), "patterns")
+        if not fresh.isEmpty():
+            counted = shared_table(context_totals(docs, fresh), "totals")
+            totals = counted if totals is None else totals.union(counted)
+        if totals is None:
+            break
+        trusted = known.join(totals, "pattern").withColumn("trust", F.col("weight") / F.col("total"))
+        trusted = trusted.where(F.col("trust") >= CONFIDENCE).select("pattern", "kind", "trust")
         found = graph.where("k < 0").join(trusted, "pattern").groupBy("inst", "kind").agg(F.max("trust").alias("score"))
         best = F.row_number().over(Window.partitionBy("inst").orderBy(F.col("score").desc(), "kind"))
         found = found.withColumn("nth", best).where("nth = 1").drop("nth")
-        scores = shared_table(graph.where("k >= 0").select("inst", F.col("k").alias("kind")).distinct().withColumn("score", F.lit(1.0)).union(found), "scores")
-    seeds = graph.where("k >= 0").select("inst").distinct()
-    new = scores.join(seeds, "inst", "left_anti").select("inst", "kind")
+        scores = shared_table(seeds.union(found), "scores")
+    new = scores.join(seeds.select("inst").distinct(), "inst", "left_anti").select("inst", "kind")
     unknown = scanned.select("row", F.explode("seen").alias("s")).select("row", "s.*").where("k < 0")
     return unknown.join(new, "inst").select("row", F.col("kind").alias("k"), "start", "end")
 
