@@ -4,14 +4,15 @@ Each language has a character trigram model with absolute discounting and lower
 counts. The models share sorted arrays of n-gram hashes (code points folded to small ids, packed into one
 integer) with a column of log probabilities per language, and are searched by bisection for whole batches
 of text at once. A document gets the language with the lowest cross-entropy per character. How far that
-may lie above the usual for a text of its length is calibrated on the training documents; beyond, the
-document is rejected.
+may lie above the usual for a text of its length is calibrated on labelled documents that a second model was
+not fitted on; beyond, the document is rejected.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from functools import cache, partial
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +24,8 @@ from paperloom.llm._shared import documents, first_of_each, shared_table
 #: The models are fitted on at most so many labelled documents of each language, the first by MD5 of doc_id.
 TRAIN_DOCS = 2000
 ORDER, UNKNOWN = 3, "und"
-#: Rejection lies at this quantile of the training documents' standardised excess, times the slack.
-QUANTILE, SLACK = 0.999, 3.0
+#: Rejection lies at this quantile of the excess of held-out documents, by length class: under 64 characters, 256, and so on by fours.
+QUANTILE, CLASSES = 0.999, 6
 #: Characters scored at a time.
 PART = 400_000
 
@@ -57,6 +58,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(key)), pa.array(key), pa.array(n)], ["lang", "gram", "n"])
 
 
+def length_class(n: np.ndarray) -> np.ndarray:
+    return np.clip(np.floor(np.log(np.maximum(n, 1) / 16) / np.log(4)), 0, CLASSES - 1).astype(int)
+
+
 class Model:
     """Log probabilities of all languages over shared sorted n-gram hashes."""
 
@@ -96,7 +101,12 @@ class Model:
             three = np.maximum(n - d3, 0) / np.maximum(of, 1)[at] + weight3[at] * two[pair]
             for table, values in ((self.p1, uni), (self.p2, two), (self.p3, three), (self.back2, weight2), (self.back3, weight3)):
                 table[:, j] = np.log(values)
-        self.norm = np.zeros((3, n_lang))
+        self.norm = np.zeros(n_lang), np.full(CLASSES, np.inf), 0.0
+
+    def accepts(self, best: np.ndarray, nats: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Whether texts of n characters in the languages numbered best are as likely as texts of these languages are."""
+        mean, limit, spread = self.norm
+        return (n > 0) & (nats - mean[best] <= np.maximum(limit[length_class(n)], spread / np.sqrt(np.maximum(n, 1))))
 
     @staticmethod
     def _discount(n: np.ndarray) -> float:
@@ -170,10 +180,8 @@ def _score(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]
         least = nats.min(axis=1)
         gap = (nats - least[:, None]) * np.minimum(n, 200)[:, None]
         score = np.where(n > 0, 1 / np.exp(-gap).sum(axis=1), 0.0)
-        mean, _, limit = m.norm[:, best]
-        excess = (least - mean) * np.sqrt(n)
         pred = [m.langs[b] if k else UNKNOWN for b, k in zip(best, n)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(score), pa.array(n, pa.int64()), pa.array(least), pa.array((n > 0) & (excess <= limit))], ["doc_id", "lang_pred", "score", "n_scored", "nats", "accepted"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(score), pa.array(n, pa.int64()), pa.array(least), pa.array(m.accepts(best, least, n))], ["doc_id", "lang_pred", "score", "n_scored", "nats", "accepted"])
 
 
 def _accepted(batches: Iterator[pa.RecordBatch], at: int, model) -> Iterator[pa.RecordBatch]:
@@ -204,29 +212,47 @@ def train(docs: DataFrame, limit: int = TRAIN_DOCS):
     spark = docs.sparkSession
     chosen = first_of_each(docs.where("lang is not null and text is not null"), "lang", limit).select("doc_id").distinct()
     sample = docs.where("lang is not null and text is not null").select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id")
-    sample = shared_table(sample, "labelled").select("lang", "text", "doc_id")
-    grams = sample.select("lang", "text").mapInArrow(_count, "lang string, gram long, n long")
+    # a fourth is held out of a second model, which only calibrates
+    fold = F.when(F.crc32(F.concat(F.lit("fold "), F.col("doc_id").cast("string")).cast("binary")) % 4 == 0, "1").otherwise("0")
+    sample = shared_table(sample.withColumn("fold", fold), "labelled")
+    grams = sample.select(F.concat("fold", "lang").alias("lang"), "text").mapInArrow(_count, "lang string, gram long, n long")
     grams = grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     if grams.empty:
         return None
-    counts = {lang: (g["gram"].to_numpy(), g["n"].to_numpy()) for lang, g in grams.sort_values("gram").groupby("lang")}
-    fitted = Model(sorted(counts), counts)
-    shared = spark.sparkContext.broadcast(fitted)
-    fitted.norm = calibration(predict(sample, shared), fitted.langs)
+    grams["fold"], grams["lang"] = grams["lang"].str[0], grams["lang"].str[1:]
+    fitted, part = _fitted(grams), _fitted(grams[grams["fold"] == "0"])
+    if part is not None:
+        scored = predict(sample.where("fold = '1'"), spark.sparkContext.broadcast(part))
+        fitted.norm = calibration(scored, fitted.langs)
     return spark.sparkContext.broadcast(fitted)
 
 
-def calibration(scored: DataFrame, langs: list[str]) -> np.ndarray:
-    """Mean nats a character, spread of the standardised excess, and its limit, by language."""
-    means = scored.where("n_scored > 0").groupBy("lang_pred").agg((F.sum(F.col("nats") * F.col("n_scored")) / F.sum("n_scored")).alias("mean"))
-    excess = (F.col("nats") - F.col("mean")) * F.sqrt("n_scored")
-    spread = scored.where("n_scored > 0").join(means, "lang_pred").withColumn("excess", excess)
-    rows = spread.groupBy("lang_pred").agg(F.first("mean").alias("mean"), F.stddev_pop("excess").alias("sd"), F.percentile("excess", F.lit(QUANTILE)).alias("q")).collect()
-    norm = np.zeros((3, len(langs)))
-    norm[2] = np.inf
-    for r in rows:
-        norm[:, langs.index(r["lang_pred"])] = r["mean"], r["sd"], max(r["q"], 3 * r["sd"]) * SLACK
-    return norm
+def _fitted(grams) -> Model | None:
+    """A Model of counts by lang and gram, which may have several rows."""
+    sums = grams.groupby(["lang", "gram"], as_index=False)["n"].sum()
+    counts = {lang: (g["gram"].to_numpy(), g["n"].to_numpy()) for lang, g in sums.sort_values("gram").groupby("lang")}
+    return Model(sorted(counts), counts) if counts else None
+
+
+def calibration(scored: DataFrame, langs: list[str]) -> tuple[np.ndarray, np.ndarray, float]:
+    """Median nats a character by language, limit of the excess over it by length class, and QUANTILE of its noise at one character.
+
+    A quantile needs 1 / (1 - QUANTILE) documents; a class with fewer is merged with its neighbours. The noise falls with
+    the root of the length; its spread is robust, from the median deviation. scored has at most TRAIN_DOCS rows of a language.
+    """
+    rows = scored.where("n_scored > 0").select("lang_pred", "n_scored", "nats").toPandas()
+    if rows.empty:
+        return np.zeros(len(langs)), np.full(CLASSES, np.inf), 0.0
+    found = rows.groupby("lang_pred")["nats"].median()
+    mean = np.array([found.get(x, found.mean()) for x in langs])
+    n = rows["n_scored"].to_numpy()
+    excess = rows["nats"].to_numpy() - mean[[langs.index(x) for x in rows["lang_pred"]]]
+    of, limit = length_class(n), np.zeros(CLASSES)
+    for c in range(CLASSES):
+        width = next(w for w in range(CLASSES) if (abs(of - c) <= w).sum() * (1 - QUANTILE) >= 1 or w == CLASSES - 1)
+        limit[c] = np.quantile(excess[abs(of - c) <= width], QUANTILE)
+    sd = 1.4826 * np.median(abs(excess) * np.sqrt(n))
+    return mean, limit, float(sd * NormalDist().inv_cdf(QUANTILE))
 
 
 def held_out() -> F.Column:

@@ -169,6 +169,22 @@ def test_language_rejects(spark, docs):
     assert [r.accepted for r in language_id.predict(strange, model).collect()] == [False] * 3
 
 
+def test_language_rejects_short_texts_of_languages_left_out(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    fit = docs.where(~language_id.held_out())
+    model = language_id.train(fit, 500)
+    italian = "Il mercato del pesce apre ogni mattina prima che faccia giorno e i pescatori tornano al porto con le barche piene di reti bagnate mentre le donne aspettano"
+    polish = "Rano na rynku pojawili się pierwsi kupcy, którzy rozstawili swoje stragany i czekali na ludzi z pobliskich wsi, przynoszących świeże warzywa oraz owoce"
+    noise = "".join(random.Random(1).choices("abcdefghijklmnopqrstuvwxyz     ", k=150))
+    rows = [(i, t[:n]) for i, (t, n) in enumerate((t, n) for t in (italian, polish, noise) for n in (40, 80, 150))]
+    assert not any(r.accepted for r in language_id.predict(spark.createDataFrame(rows, "doc_id long, text string"), model).collect())
+    usual = language_id.predict(docs.where(language_id.held_out()), model).toPandas()
+    assert usual.accepted.mean() > 0.98
+    without = language_id.train(fit.where("lang <> 'es'"), 500)
+    spanish = docs.where("lang = 'es' and n_chars > 150").selectExpr("doc_id", "substring(text, 1, 80) text")
+    assert language_id.predict(spanish, without).toPandas().accepted.mean() < 0.05
+
+
 PATTERNS = ((r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", None), (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda s: all(int(p) <= 255 for p in s.split("."))), (r"[0-9]([\x20-]?[0-9])+", lambda s: 16 <= len(re.sub(r"\D", "", s)) <= 19 and personal_data.luhn(re.sub(r"\D", "", s))), (r"\+[0-9][\x20().0-9-]+[0-9]", lambda s: 8 <= len(re.sub(r"\D", "", s)) <= 15))
 
 
