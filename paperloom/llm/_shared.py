@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Stands for a null doc_id in joins and windows that must keep such rows.
-NO_ID = -(2**63)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,11 +17,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of our own only where none is set (tests, one machine)."""
+    """The folder in spark.checkpoint.dir; one of our own only where none is set and all runs on this machine.
+
+    A cluster without such a folder is an error: tables on each machine's own disk would be lost to the others.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if not held.isDefined():
+            if not spark.sparkContext.master.split("[")[0] == "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
             held = spark.sparkContext._jsc.sc().getCheckpointDir()
         named = held.get()
@@ -51,25 +54,44 @@ def shuffled(*key: F.Column) -> F.Column:
     return F.md5(F.concat_ws("/", *[F.coalesce(k.cast("string"), F.lit("null")) for k in key]))
 
 
-def running_total(df: DataFrame, group: list[str], order: list[str], value: str, out: str, rows: int, per_slice: int = 4_000) -> DataFrame:
+def running_total(df: DataFrame, group: list[str], order: list[str], value: str, out: str, rows: int, per_slice: int = 256) -> DataFrame:
     """Add out: the sum of value up to and including each row, within group by order.
 
     order[0] must hold an MD5 in hex. Its head deals each group into slices of about per_slice rows or
     fewer, so that a group with a third of all rows is spread over many tasks: slices are summed, the
-    sums are added up over the slices of a group, and each slice is then totalled on its own.
+    sums are added up over blocks of slices and over the slices of a block, and each slice is then totalled on its own.
     """
     slices = max(1, -(-rows // per_slice))
     head = F.conv(F.substring(order[0], 1, 8), 16, 10).cast("long")
     df = df.withColumn("__slice", F.floor(head * F.lit(slices) / F.lit(2.0**32)).cast("long"))
-    keys = [*group, "__slice"]
-    sums = df.groupBy(*keys).agg(F.sum(value).alias("__sum"))
-    before = Window.partitionBy(*group).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*keys, F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__before"))
+    keys, earlier = [*group, "__slice"], (Window.unboundedPreceding, -1)
+    sums = df.groupBy(*keys).agg(F.sum(value).alias("__sum")).withColumn("__block", F.floor(F.col("__slice") / 4096))
+    blocks = sums.groupBy(*group, "__block").agg(F.sum("__sum").alias("__all"))
+    over_blocks = Window.partitionBy(*group).orderBy("__block").rowsBetween(*earlier)
+    blocks = blocks.select(*group, "__block", F.coalesce(F.sum("__all").over(over_blocks), F.lit(0)).alias("__blocks"))
+    in_block = Window.partitionBy(*group, "__block").orderBy("__slice").rowsBetween(*earlier)
+    sums = sums.join(blocks, [*group, "__block"]).select(*keys, (F.coalesce(F.sum("__sum").over(in_block), F.lit(0)) + F.col("__blocks")).alias("__before"))
     inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     joined = df.join(sums, keys).withColumn(out, F.sum(value).over(inside) + F.col("__before"))
     return joined.drop("__slice", "__before")
 
 
+def ordered_totals(df: DataFrame, order: list[str], values: dict[str, str]) -> DataFrame:
+    """df as a written table, with the sum of each of values, {column: name of its total}, up to and including each row by order.
+
+    Rows are range-sorted, the ranges are summed, and each range is then totalled on its own; order should name every row.
+    """
+    ranged = df.repartitionByRange(shuffle_width(df.sparkSession), *order).withColumn("__range", F.spark_partition_id())
+    ranged = shared_table(ranged, "ranged")
+    earlier = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranged.groupBy("__range").agg(*[F.sum(v).alias(f"__{out}") for v, out in values.items()])
+    sums = sums.select("__range", *[F.coalesce(F.sum(f"__{out}").over(earlier), F.lit(0)).alias(f"__{out}") for out in values.values()])
+    inside = Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    joined = ranged.join(F.broadcast(sums), "__range")  # one row a range
+    joined = joined.withColumns({out: F.sum(v).over(inside) + F.col(f"__{out}") for v, out in values.items()})
+    return joined.drop("__range", *[f"__{out}" for out in values.values()])
+
+
 def first_of_each(rows: DataFrame, key: str, limit: int) -> DataFrame:
     """(doc_id, key) of at most limit rows of each key, the first by MD5 of doc_id; rows without doc_id are left out.
 
@@ -88,17 +110,42 @@ def first_of_each(rows: DataFrame, key: str, limit: int) -> DataFrame:
     return rows.select("doc_id", key)
 
 
+def line_digest(docs: DataFrame) -> F.Column:
+    """SHA-256 of a whole row: rows share it only if they are alike in every column."""
+    return F.sha2(F.to_json(F.struct(*docs.columns)), 256)
+
+
+def lines_once(docs: DataFrame) -> DataFrame:
+    """docs with __line, its line_digest; of rows alike in every column one. Copies go before the shuffle, so none is gathered."""
+    rows = docs.withColumn("__line", line_digest(docs))
+    nth = F.row_number().over(Window.partitionBy("__line").orderBy("__line"))
+    return rows.withColumn("__nth", nth).where("__nth = 1").drop("__nth")
+
+
 def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is in kept; of rows alike in doc_id and text, one.
+    """The rows of docs whose line_digest is in kept (line); of rows alike in every column, one. The text is shuffled once."""
+    return lines_once(docs).join(kept.select(F.col("line").alias("__line")), "__line", "left_semi").drop("__line")
+
+
+#: A key with this share of the rows is heavy; there are at most 1 / HEAVY of them.
+HEAVY = 1 / 2000
+
+
+def split_join(rows: DataFrame, per_key: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """rows joined with per_key, which has one row for each key; how is inner or left.
 
-    A null doc_id in kept keeps the rows without doc_id. The text is shuffled once, by doc_id.
+    Keys with a share HEAVY of rows, 1 / HEAVY at most, are broadcast with what per_key says of them, so that their rows
+    stay where they lie. Both frames must give the same rows whenever they are read.
     """
-    key = F.coalesce(F.col("doc_id"), F.lit(NO_ID)).alias("__key")
-    wanted = kept.select(key)
-    rows = docs.withColumn("__key", key).join(wanted, "__key", "left_semi")
-    rows = rows.withColumn("__digest", F.sha2(F.coalesce("text", F.lit("")), 256))
-    first = Window.partitionBy("__key", "__digest").orderBy(F.lit(1))
-    return rows.withColumn("__nth", F.row_number().over(first)).where("__nth = 1").drop("__key", "__digest", "__nth")
+    least = max(64, HEAVY * rows.count())
+    heavy = rows.groupBy(key).count().where((F.col("count") >= least) & F.col(key).isNotNull()).select(key)
+    heavy = shared_table(heavy.join(per_key.withColumn("__known", F.lit(True)), key, "left"), "heavy")
+    if heavy.isEmpty():
+        return rows.join(per_key, key, how)
+    hot = rows.join(F.broadcast(heavy), key)
+    hot = (hot if how == "left" else hot.where("__known")).drop("__known")
+    rest = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(per_key, key, how)
+    return hot.unionByName(rest)
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -111,11 +158,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
     links = shared_table(links, "links")
     while True:
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.union(least.where("m < a").select("a", F.col("m").alias("b"))).distinct()
+        least = shared_table(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
+        large = split_join(both.where("b > a"), least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = shared_table(large.union(least.where("m < a").select("a", F.col("m").alias("b"))).distinct(), "large")
         lower = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(lower, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = split_join(large, lower, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         links = shared_table(small.union(lower.select("a", F.col("m").alias("b"))).distinct(), "links")
         inner = links.select(F.col("b").alias("a")).join(links.select("a"), "a", "left_semi")
         repeated = links.groupBy("a").count().where("count > 1")

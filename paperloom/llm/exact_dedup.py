@@ -11,20 +11,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from paperloom.llm._shared import documents, keep_rows, shared_table
+from paperloom.llm._shared import documents, keep_rows, line_digest, shared_table
 
 SUPPORT = 1 / 2000
 
 
 def heavy_digests(digests: DataFrame, rows: int, support: float = SUPPORT) -> DataFrame:
-    """(digest, keep_id, group_size) of the digests with at least support of the rows; 1 / support rows at most."""
+    """(digest, best, group_size) of the digests with at least support of the rows; 1 / support rows at most."""
     candidates = digests.select("digest").stat.freqItems(["digest"], support)
     candidates = candidates.select(F.explode("digest_freqItems").alias("digest"))
     counted = digests.join(F.broadcast(candidates), "digest").groupBy("digest")
-    counted = counted.agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    counted = counted.agg(F.max("rank").alias("best"), F.count(F.lit(1)).alias("group_size"))
     return counted.where((F.col("group_size") > 1) & (F.col("group_size") >= support * rows))
 
 
+def _groups(docs: DataFrame, support: float, line: F.Column) -> DataFrame:
+    """doc_id, digest, line, group_size, and best, the rank of the row that stays of its text; rank names each row of the table."""
+    digest = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
+    digests = docs.select("doc_id", digest.alias("digest"), line.alias("line"), F.monotonically_increasing_id().alias("row"))
+    digests = shared_table(digests, "digests").withColumn("rank", F.struct("doc_id", "line", -F.col("row")))
+    heavy = heavy_digests(digests, digests.count(), support)
+    marked = digests.join(F.broadcast(heavy), "digest", "left")
+    group = Window.partitionBy("digest")
+    rest = marked.where("group_size is null").withColumn("best", F.max("rank").over(group)).withColumn("group_size", F.count(F.lit(1)).over(group))
+    return marked.where("group_size is not null").unionByName(rest)
+
+
 def duplicate_groups(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -32,27 +44,14 @@ def duplicate_groups(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
     doc_id being smaller than any other (keep_id is null if a group has no other). Of repeated rows, alike
     in doc_id and text, one stays. No rows give no rows; other columns of docs are not read.
     """
-    digest = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
-    digests = shared_table(docs.select("doc_id", digest.alias("digest")), "digests")
-    heavy = heavy_digests(digests, digests.count(), support)
-    marked = digests.join(F.broadcast(heavy), "digest", "left")
-    winner = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    out = ["doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256")]
-
-    hot = marked.where("group_size is not null")
-    lost = hot.where(~winner).withColumn("kept", F.lit(False))
-    nth = F.row_number().over(Window.partitionBy("digest").orderBy(F.col("doc_id").desc_nulls_last()))
-    won = hot.where(winner).withColumn("kept", nth == 1)
-
-    group = Window.partitionBy("digest")
-    rest = marked.where("group_size is null").select("doc_id", "digest")
-    rest = rest.withColumn("keep_id", F.max("doc_id").over(group)).withColumn("group_size", F.count(F.lit(1)).over(group)).withColumn("kept", nth == 1)
-    return lost.select(*out).union(won.select(*out)).union(rest.select(*out))
+    groups = _groups(docs, support, F.lit(""))
+    return groups.select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("rank") == F.col("best")).alias("kept"), F.col("digest").alias("text_sha256"))
 
 
 def drop_duplicates(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
-    """docs without the rows that duplicate_groups drops; all columns."""
-    return keep_rows(docs, duplicate_groups(docs, support).where("kept"))
+    """docs without the rows that duplicate_groups drops; all columns. Of rows alike in doc_id and text that with the greatest line_digest stays."""
+    kept = _groups(docs, support, line_digest(docs)).where(F.col("rank") == F.col("best"))
+    return keep_rows(docs, kept.select("line"))
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,10 +8,10 @@ that has no passes left stops sending, which gives the rest to the others by wei
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm._shared import NO_ID, documents, running_total, shared_table, shuffle_width, shuffled, word_count
+from paperloom.llm._shared import documents, line_digest, lines_once, ordered_totals, running_total, shared_table, shuffled, split_join, word_count
 
 WEIGHTS, SHARE, PASSES = (5, 2, 1), 1.5, 2
 
@@ -22,65 +22,60 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     Sources by code point, null last, take the weights in turn. A target is the weight times a common
     level, but at most passes times the source's size; the level is where the targets sum to the budget,
     the greatest of (budget - sizes capped so far) / (weights left) with sources in order of cap over weight.
+    Both orders are range sorts, so the sources of a corpus need not fit one task.
     """
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    nth = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
-    per = per.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), ((nth - 1) % len(weights) + 1).cast("int")))
-    per = per.withColumn("cap", F.col("source_size") * passes)
-    everything = Window.partitionBy()
-    by_cap = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
-    per = per.withColumn("budget", F.sum("source_size").over(everything) * F.lit(float(share)))
-    capped = F.coalesce(F.sum("cap").over(by_cap.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    left = F.sum("weight").over(by_cap.rowsBetween(0, Window.unboundedFollowing))
-    per = per.withColumn("level", (F.col("budget") - capped) / left)
-    per = per.withColumn("level", F.max("level").over(everything))
-    target = F.least(F.col("cap").cast("double"), F.col("level") * F.col("weight"))
-    return per.select("source", "source_size", "weight", target.alias("target"), "budget")
-
-
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, passes: int = PASSES, seed: int = 1) -> DataFrame:
-    """One row per row of docs: doc_id, source, size, source_size, weight, target, copies, taken (copies times size).
+    per = per.withColumn("none", F.col("source").isNull()).withColumn("one", F.lit(1).cast("long"))
+    per = ordered_totals(per, ["none", "source"], {"one": "nth"})
+    per = per.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), ((F.col("nth") - 1) % len(weights) + 1).cast("int")).cast("long"))
+    per = per.withColumn("cap", F.col("source_size") * passes).withColumn("full_at", F.col("cap") / F.col("weight"))
+    per = ordered_totals(per, ["full_at", "none", "source"], {"cap": "caps", "weight": "heavier"})
+    words, weight = per.agg(F.sum("source_size"), F.sum("weight")).first()
+    budget = (words or 0) * float(share)
+    left = weight - (F.col("heavier") - F.col("weight")) if weight else F.lit(1)
+    level = per.agg(F.max((F.lit(budget) - (F.col("caps") - F.col("cap"))) / left)).first()[0]
+    target = F.least(F.col("cap").cast("double"), F.lit(level).cast("double") * F.col("weight"))
+    return per.select("source", "source_size", "weight", target.alias("target"), F.lit(budget).alias("budget"))
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, passes: int = PASSES, seed: int = 1, line: F.Column | None = None) -> DataFrame:
+    """One row per row of docs: doc_id, source, size, source_size, weight, target, copies, taken (copies times size), line.
 
     Size is the number of words, 0 for a null text. A null source is a source of its own, a null doc_id a
     document like any other. Whole documents are taken, so a source's words differ from its target by less
     than one document, or by what that leaves to the others. Repeated rows are documents of their own; rows
-    that tie in all of order, doc_id and size are alike. No rows give no rows; other columns are not read.
+    that tie in all of order, doc_id, size and line are alike. No rows give no rows; other columns are not read.
+    line is a column that tells rows apart further, empty if not given.
     """
-    sizes = docs.select("doc_id", "source", word_count("text").alias("size"))
+    sizes = docs.select("doc_id", "source", word_count("text").alias("size"), (F.lit("") if line is None else line).alias("line"))
     sizes = sizes.withColumn("pos", shuffled(F.lit(seed), F.col("doc_id"), F.col("size"))).withColumn("row", F.monotonically_increasing_id())
     sizes = shared_table(sizes, "sizes")
     targets = shared_table(source_targets(sizes, weights, share, passes), "targets")
     rows = sizes.count()
-    keyed = sizes.join(targets.withColumnRenamed("source", "__source"), F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
-    keyed = keyed.withColumn("queue", F.coalesce(F.concat(F.lit("="), "source"), F.lit("null")))
-    sent = running_total(keyed, ["queue"], ["pos", "doc_id", "size", "row"], "size", "sent", rows)
+    keyed = sizes.withColumn("queue", F.coalesce(F.concat(F.lit("="), "source"), F.lit("null")))
+    per_queue = targets.select(F.coalesce(F.concat(F.lit("="), "source"), F.lit("null")).alias("queue"), "source_size", "weight", "target", "budget")
+    keyed = split_join(keyed, per_queue, "queue")
+    sent = running_total(keyed, ["queue"], ["pos", "doc_id", "size", "line", "row"], "size", "sent", rows)
     copies = sent.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(passes - 1))))
     copies = copies.withColumn("finish", (F.col("pass") * F.col("source_size") + F.col("sent")) / F.col("weight"))
-    order = ["finish", "pos", "doc_id", "size", "row"]
-    ranged = copies.drop("sent", "queue").repartitionByRange(shuffle_width(docs.sparkSession), *order).withColumn("range", F.spark_partition_id())
-    ranged = shared_table(ranged, "ranged")
-    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = ranged.groupBy("range").agg(F.sum("size").alias("words")).select("range", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    queued = ranged.join(sums, "range").withColumn("running", F.sum("size").over(inside) + F.col("before"))
-    held = ["doc_id", "source", "size", "source_size", "weight", "target"]
+    queued = ordered_totals(copies.drop("sent", "queue"), ["finish", "pos", "doc_id", "size", "line", "row", "pass"], {"size": "running"})
+    held = ["doc_id", "source", "size", "source_size", "weight", "target", "line"]
     taken = F.sum((F.col("running") <= F.col("budget")).cast("long"))
     mixed = queued.groupBy("row").agg(*[F.first(c).alias(c) for c in held], taken.alias("copies"))
-    return mixed.select(*held, "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return mixed.select(*held[:-1], "copies", (F.col("copies") * F.col("size")).alias("taken"), "line")
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """docs as the mix takes them: a document as many times as it is taken; all columns.
 
-    Rows alike in doc_id and size share what the mix takes of them as evenly as it goes.
+    Rows alike in every column are one row with the sum of their copies, given out again as so many rows.
     """
-    key = F.coalesce(F.col("doc_id"), F.lit(NO_ID)).alias("__key")
-    taken = mix(docs, **how).groupBy(key, F.col("size").alias("__size")).agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__rows")).where("__copies > 0")
-    rows = docs.withColumn("__key", key).withColumn("__size", word_count("text"))
-    rows = rows.join(taken, ["__key", "__size"])
-    nth = F.row_number().over(Window.partitionBy("__key", "__size").orderBy(F.lit(1)))
-    rows = rows.withColumn("__n", F.floor((F.col("__copies") + F.col("__rows") - nth) / F.col("__rows")).cast("int"))
-    return rows.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__n")))).select(*docs.columns)
+    taken = mix(docs, line=line_digest(docs), **how).groupBy(F.col("line").alias("__line")).agg(F.sum("copies").alias("__copies")).where("__copies > 0")
+    rows = lines_once(docs).join(taken, "__line")
+    thousands = F.ceil(F.col("__copies") / 1000).cast("int")
+    rows = rows.withColumn("__part", F.explode(F.sequence(F.lit(1), thousands)))
+    each = F.when(F.col("__part") < thousands, 1000).otherwise(F.col("__copies") - (thousands - 1) * 1000)
+    return rows.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), each.cast("int")))).select(*docs.columns)
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

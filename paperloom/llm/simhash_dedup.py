@@ -1,12 +1,13 @@
 """SimHash near-duplicates, found through Golay-code fuzzy keys.
 
-A 64-bit fingerprint is cut into six blocks of 11, 11, 11, 11, 10 and 10 bits. Two fingerprints that
-differ in at most four bits either agree in three blocks (20 exact keys), or agree in exactly two and
-differ by one bit in each of the other four. In the second case the first two of these four, put side by
-side, form a segment with two errors. Such a segment is decoded to the indices of all codewords of the
-(23, 12) Golay code within distance four, 5.3 of them on average. Two segments at distance two or less
-share one of these: some word lies at most one bit from both, its nearest codeword at most three bits
-further. So the two exact blocks with one codeword index make a key of 34 bits (15 pairs of blocks).
+A 64-bit fingerprint is cut into six blocks of 11, 11, 11, 11, 10 and 10 bits. A key is made of two blocks
+taken as they are and a segment of two further blocks, decoded to the index of a nearby codeword of the
+(23, 12) Golay code: all codewords within distance four, 5.3 of them on average, give a key each. Two
+segments at distance two or less share one of these: some word lies at most one bit from both, its nearest
+codeword at most three bits further. Two fingerprints that differ in at most four bits agree in at least
+two blocks, and the segments in COVER, one for each pair of blocks, are such that for every spread of four
+errors over the blocks some pair is free of errors while its segment has two at most (a test tries all
+spreads). So every link shows in a key of 34 bits, about 80 keys a fingerprint, all through the code.
 
 Only distinct fingerprints are joined. The members of a bucket are first linked to its least and greatest
 member; after components of those links, only members of one bucket with different labels are compared
@@ -24,11 +25,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm._shared import connected_components, documents, keep_rows, shared_table, shuffle_width
+from paperloom.llm._shared import connected_components, documents, keep_rows, line_digest, shared_table, shuffle_width, split_join
 
 SHINGLE, SEED, MAX_BITS = 4, 42, 4
 #: First bit and width of each block.
 BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
+#: The blocks of a key's segment, for each pair of blocks taken as they are.
+COVER = {
+    (0, 1): (4, 5), (0, 2): (3, 5), (0, 3): (1, 2), (0, 4): (1, 5), (0, 5): (3, 4),
+    (1, 2): (3, 4), (1, 3): (2, 5), (1, 4): (2, 3), (1, 5): (3, 4), (2, 3): (0, 1),
+    (2, 4): (0, 3), (2, 5): (1, 3), (3, 4): (0, 2), (3, 5): (0, 1), (4, 5): (1, 2),
+}
 #: Generator polynomial of the binary Golay code: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
 GOLAY = 0b101011100011
 
@@ -55,8 +62,8 @@ def fingerprint(text: str | None) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = np.fromiter((fingerprint(t.as_py()) for t in batch.column(1)), np.uint64, batch.num_rows)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+        found = np.fromiter((fingerprint(t.as_py()) for t in batch.column(2)), np.uint64, batch.num_rows)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found.view(np.int64))], ["doc_id", "line", "fp"])
 
 
 @cache
@@ -87,11 +94,7 @@ def fuzzy_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     blocks = [((fps >> np.uint64(at)) & np.uint64((1 << width) - 1)).astype(np.int64) for at, width in BLOCKS]
     low, high, errors = golay_errors()
     keys, real = [], []
-    for kind, (i, j, k) in enumerate(combinations(range(6), 3)):
-        keys.append((kind << 34 | blocks[i] << 22 | blocks[j] << 11 | blocks[k])[:, None])
-        real.append(np.ones((len(fps), 1), bool))
-    for kind, (i, j) in enumerate(combinations(range(6), 2), 20):
-        a, b = [x for x in range(6) if x not in (i, j)][:2]
+    for kind, ((i, j), (a, b)) in enumerate(COVER.items()):
         segment = blocks[a] << 11 | blocks[b]
         near = errors[low[segment & 0xFFF] ^ high[segment >> 12]]
         index = (segment[:, None] ^ near) >> 11
@@ -129,8 +132,17 @@ def fingerprint_components(fps: DataFrame) -> DataFrame:
     pairs = left.join(right, "key").where(F.col("label") < F.col("label2")).where(_near("fp", "fp2"))
     merged = connected_components(pairs.select(F.col("label").alias("a"), F.col("label2").alias("b")))
     merged = merged.select(F.col("node").alias("label"), F.col("root").alias("top"))
-    labels = fps.select("fp").join(stars, "fp", "left").select("fp", F.coalesce("root", "fp").alias("label"))
-    return labels.join(merged, "label", "left").select("fp", F.coalesce("top", "label").alias("label"))
+    merged = shared_table(merged, "merged")
+    labels = shared_table(fps.select("fp").join(stars, "fp", "left").select("fp", F.coalesce("root", "fp").alias("label")), "labels")
+    return split_join(labels, merged, "label", "left").select("fp", F.coalesce("top", "label").alias("label"))
+
+
+def _labelled(docs: DataFrame, line: F.Column) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, line, fp) of every row, and (fp, label) of the distinct fingerprints."""
+    marked = docs.select(F.col("doc_id").cast("long"), line.alias("line"), F.col("text").cast("string")).mapInArrow(_fingerprints, "doc_id long, line string, fp long")
+    marked = shared_table(marked, "fingerprints")
+    fps = shared_table(marked.select("fp").distinct(), "distinct")
+    return marked, shared_table(fingerprint_components(fps), "labels")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -140,20 +152,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     A null doc_id takes part but is never a component_id unless nothing else is in its component. Repeated
     rows are all returned. No rows give no rows; other columns of docs are not read.
     """
-    marked = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_fingerprints, "doc_id long, fp long")
-    marked = shared_table(marked, "fingerprints")
-    fps = shared_table(marked.groupBy("fp").agg(F.min("doc_id").alias("doc")), "distinct")
-    labels = shared_table(fingerprint_components(fps.select("fp")), "labels")
-    least = labels.join(fps, "fp").groupBy("label").agg(F.min("doc").alias("component_id"))
-    components = labels.join(least, "label").select("fp", "component_id")
+    marked, labels = _labelled(docs, F.lit(""))
+    docs_of = shared_table(labels.join(marked.groupBy("fp").agg(F.min("doc_id").alias("doc")), "fp"), "least")
+    least = shared_table(docs_of.groupBy("label").agg(F.min("doc").alias("component_id")), "least")
+    components = shared_table(split_join(docs_of, least, "label").select("fp", "component_id"), "components")
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return marked.join(components, "fp").select("doc_id", digits.alias("fingerprint"), "component_id")
+    return split_join(marked, components, "fp").select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs with one document of each component, that with the least doc_id; all columns."""
-    groups = near_duplicates(docs)
-    return keep_rows(docs, groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    """docs with one document of each component; all columns.
+
+    That with the least doc_id stays, a null doc_id only where there is no other; of those alike in doc_id that with the least line_digest.
+    """
+    marked, labels = _labelled(docs, line_digest(docs))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line")).alias("first")
+    best = marked.groupBy("fp").agg(first).join(labels, "fp").groupBy("label").agg(F.min("first").alias("first"))
+    return keep_rows(docs, best.select("first.line"))
 
 
 def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
