@@ -6,12 +6,14 @@ pack that still has room, else into a new one. Packs of one pattern are a range
 count, so the work does not grow with the number of documents. The resulting placements are joined back to
 the pieces by length and rank.
 
-Ids are those of the byte_bpe_50k vocabulary. The main path reads its rank file, which gives the same ids
-as the tokenizers file of that vocabulary in a quarter of the time; a test holds the two against each other.
+Ids are those that tokenizers gives for the byte_bpe_50k vocabulary. No token of it runs from a word over the white
+space after it, so a text's ids are those of its chunks, white space with the word behind it, one after the other.
+Chunks are given to tokenizers once and remembered; a test holds the ids against those of whole texts.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import cache, partial
 
@@ -22,25 +24,63 @@ from pyspark.sql import functions as F
 
 from paperloom.llm._shared import documents, running_total, shared_table, shuffled
 
-LENGTH, END, MARK, VOCABULARY = 1024, 0, "<|endoftext|>", "byte_bpe_50k.tiktoken"
+LENGTH, END, MARK, VOCABULARY = 1024, 0, "<|endoftext|>", "byte_bpe_50k.json"
+#: Chunks of at most so many characters are remembered, and so many of them.
+SHORT, MOST = 40, 600_000
+CHUNK = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
+#: Other white space, or what may count as such: texts with it are not cut.
+RARE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028-\u202f\u205f\u3000\ufeff]")
+
+
+class Encoder:
+    """Ids of whole texts by a tokenizers file; path defaults to the installed public vocabulary."""
+
+    def __init__(self, path: str | None):
+        import public_tokenizers
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path(VOCABULARY))
+        size = self.tokenizer.get_vocab_size()
+        self.opens = np.array([(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(size)])  # with a space
+        self.known: dict[str, bytes] = {}
+
+    def whole(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, chunks: set[str]) -> dict[str, bytes]:
+        """Ids of chunks as little-endian words. Words behind one space go as one text, parted again where tokens open with a space."""
+        words = [c for c in chunks if c[0] == " " and c[1:2] not in (" ", "\t", "\n", "\r", "")]
+        rest = [*chunks.difference(words)]
+        found = {c: np.array(ids, "<u4").tobytes() for c, ids in zip(rest, self.whole(rest))}
+        if words:
+            ids = np.array(self.whole(["".join(words)])[0], "<u4")
+            starts = (4 * np.flatnonzero(self.opens[ids])).tolist()
+            line = ids.tobytes()
+            found |= {w: line[a:b] for w, a, b in zip(words, starts, [*starts[1:], len(line)], strict=True)}
+        if len(self.known) < MOST:
+            self.known |= {c: ids for c, ids in found.items() if len(c) <= SHORT}
+        return found
+
+    def ids(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """Little-endian ids of each text, with the end id."""
+        plain = [not (MARK in t or RARE.search(t)) for t in texts]
+        others = iter(self.whole([t for t, p in zip(texts, plain) if not p]))
+        cut = [CHUNK.findall(t) if p else None for t, p in zip(texts, plain)]
+        held = [c and list(map(self.known.get, c)) for c in cut]
+        found = self.learn({c for chunks, got in zip(cut, held) if chunks and None in got for c, ids in zip(chunks, got) if ids is None})
+        end = np.array([END], "<u4").tobytes()
+        for chunks, got in zip(cut, held):
+            if chunks is None:
+                yield np.array([*next(others), END], "<u4")
+            else:
+                if None in got:
+                    got = [found[c] if ids is None else ids for c, ids in zip(chunks, got)]
+                yield np.frombuffer(b"".join([*got, end]), "<u4")
 
 
 @cache
-def encoder(path: str | None = None):
-    """The tokenizer of a rank file; path defaults to the installed public vocabulary."""
-    import base64
-
-    import public_tokenizers
-    import tiktoken
-
-    with open(path or public_tokenizers.path(VOCABULARY), "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={MARK: len(ranks)})
-
-
-def token_ids(text: str | None, path: str | None = None) -> np.ndarray:
-    """Little-endian ids of a text, null being empty, with the end id."""
-    return np.append(encoder(path).encode_to_numpy(text or "", allowed_special="all").astype("<u4"), np.uint32(END)).astype("<u4")
+def encoder(path: str | None = None) -> Encoder:
+    return Encoder(path)
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], length: int, path: str | None) -> Iterator[pa.RecordBatch]:
@@ -48,8 +88,8 @@ def _pieces(batches: Iterator[pa.RecordBatch], length: int, path: str | None) ->
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part, rows = batch.slice(at, 256), []
-            for doc_id, text in zip(part.column(0).to_pylist(), part.column(1)):
-                ids = token_ids(text.as_py(), path)
+            texts = [t or "" for t in part.column(1).to_pylist()]
+            for doc_id, ids in zip(part.column(0).to_pylist(), encoder(path).ids(texts)):
                 rows += [(doc_id, s, len(x), len(ids), x.tobytes()) for s in range(0, len(ids), length) for x in (ids[s : s + length],)]
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
