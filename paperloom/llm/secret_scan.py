@@ -110,46 +110,68 @@ def postings(docs: DataFrame, trigrams: list[str]) -> DataFrame:
 
 
 def candidates(index: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """(doc_id, kinds): the rules whose trigram query a document meets."""
+    """(doc_id, kinds): the rules whose trigram query a document meets, as bits by their place in rules."""
     spark = index.sparkSession
-    rows = [(r.kind, i, t, len(s)) for r in rules for i, s in enumerate(trigram_query(r.pattern)) for t in sorted(s)]
-    asked = spark.createDataFrame(rows, "kind string, nth int, trigram string, size int")
-    met = index.join(F.broadcast(asked), "trigram").groupBy("doc_id", "kind", "nth").agg(F.size(F.collect_set("trigram")).alias("n"), F.max("size").alias("size"))
-    return met.where("n = size").groupBy("doc_id").agg(F.collect_set("kind").alias("kinds"))
+    rows = [(at, i, t, len(s)) for at, r in enumerate(rules) for i, s in enumerate(trigram_query(r.pattern)) for t in sorted(s)]
+    asked = spark.createDataFrame(rows, "rule int, nth int, trigram string, size int")
+    met = index.join(F.broadcast(asked), "trigram").groupBy("doc_id", "rule", "nth").agg(F.size(F.collect_set("trigram")).alias("n"), F.max("size").alias("size"))
+    bit = F.element_at(F.array(*[F.lit(1 << i) for i in range(len(rules))]), F.col("rule") + 1).cast("long")
+    return met.where("n = size").select("doc_id", bit.alias("bit")).groupBy("doc_id").agg(F.bit_or("bit").alias("kinds"))
+
+
+def _let(value: Column, body) -> Column:
+    """body(value), with value worked out once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def running_sums(xs: Column, width: int = 128) -> Column:
+    """Sums of an array up to and including each element; blocks of width keep the work near the length of the array."""
+    zero = F.lit(0).cast("bigint")
+    add = lambda a, x: a + x
+
+    def of_blocks(blocks: Column) -> Column:
+        totals = F.transform(blocks, lambda b: F.aggregate(b, zero, add))
+        before = _let(totals, lambda t: F.transform(t, lambda _, i: F.aggregate(F.slice(t, 1, i), zero, add)))
+        return F.flatten(F.zip_with(blocks, before, lambda b, base: F.transform(b, lambda _, i: base + F.aggregate(F.slice(b, 1, i + 1), zero, add))))
+
+    def of(v: Column) -> Column:
+        heads = F.sequence(F.lit(0), F.floor((F.size(v) - 1) / width).cast("int"))
+        return _let(F.transform(heads, lambda b: F.slice(v, b * width + 1, width)), of_blocks)
+
+    return _let(xs, of)
 
 
 def spans(text: Column, rule: Rule) -> Column:
     """Array of (start, end) in code points of a rule's matches, found by adding up the lengths between and in them."""
-    kind = "array<struct<start:bigint,end:bigint>>"
-    parts = F.arrays_zip(F.split(text, rule.pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(rule.pattern), 0).alias("all"), F.regexp_extract_all(text, F.lit(rule.pattern), rule.group).alias("got"))
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(kind).alias("found"))
+    matched = lambda group: F.transform(F.regexp_extract_all(text, F.lit(rule.pattern), group), F.length)
+    gaps = F.transform(F.split(text, rule.pattern, -1), F.length)
+    reach = _let(matched(0), lambda m: F.zip_with(running_sums(F.zip_with(gaps, m, lambda g, w: (g + F.coalesce(w, F.lit(0))).cast("bigint"))), m, lambda end, w: F.struct((end - w).alias("start"), end.alias("end"))))
+    held = F.filter(F.zip_with(reach, matched(rule.group), lambda s, n: F.struct(s.alias("s"), n.alias("n"))), lambda x: x["n"] >= rule.least)
+    return F.transform(held, lambda x: x["s"]).cast("array<struct<start:bigint,end:bigint>>")
 
-    def step(acc: Column, part: Column) -> Column:
-        begin = acc["at"] + F.length(part["gap"])
-        end = begin + F.coalesce(F.length(part["all"]), F.lit(0))
-        keep = F.length(part["got"]) >= rule.least
-        one = F.array(F.struct(begin.alias("start"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(keep, F.concat(acc["found"], one)).otherwise(acc["found"]).alias("found"))
 
-    return F.aggregate(parts, start, step)["found"].cast(kind)
+#: So many candidates at most are broadcast, of some 50 bytes each; more are shuffled, with the texts.
+MOST_SENT = 500_000
 
 
-def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, most_sent: int = MOST_SENT) -> DataFrame:
     """One row per row of docs: doc_id, an array column of (start, end) for each rule's kind.
 
     A null text counts as empty. Rows that share a doc_id, null included, share their candidacy and are
-    matched each on its own. No rows give no rows; other columns of docs are not read.
+    matched each on its own. No rows give no rows; other columns of docs are not read. The candidates are
+    counted: where they are few the texts stay where they lie, else texts and candidates are shuffled by doc_id.
     """
-    asked = {r.kind: trigram_query(r.pattern) for r in rules}
-    trigrams = sorted({t for sets in asked.values() for s in sets for t in s})
+    asked = [trigram_query(r.pattern) for r in rules]
+    trigrams = sorted({t for sets in asked for s in sets for t in s})
     plain = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     index = shared_table(postings(plain, trigrams), "postings")
-    wanted = candidates(index, rules).select(F.col("doc_id").alias("__id"), "kinds")
-    rows = plain.join(wanted, F.col("doc_id").eqNullSafe(F.col("__id")), "left").drop("__id")
+    wanted = shared_table(candidates(index, rules).select(F.col("doc_id").alias("__id"), "kinds"), "wanted")
+    few = wanted.count() <= most_sent
+    rows = plain.join(F.broadcast(wanted) if few else wanted, F.col("doc_id").eqNullSafe(F.col("__id")), "left").drop("__id")
     none = F.array().cast("array<struct<start:bigint,end:bigint>>")
     columns = []
-    for r in rules:
-        try_it = F.array_contains("kinds", r.kind) if asked[r.kind] else F.rlike("text", F.lit(r.pattern))
+    for i, r in enumerate(rules):
+        try_it = F.col("kinds").bitwiseAND(F.lit(1 << i)) != 0 if asked[i] else F.rlike("text", F.lit(r.pattern))
         columns.append(F.when(try_it, spans(F.col("text"), r)).otherwise(none).alias(r.kind))
     return rows.select("doc_id", *columns)
 
