@@ -1,9 +1,11 @@
 """Personal data: fixed patterns, extended by bootstrapped contextual extraction.
 
-The fixed patterns give seed entities. The one or two words before an entity are its lexical pattern. In a
-graph of patterns and instances, Spark scores in turn how often a pattern stands before instances of a kind
-(out of all its occurrences in the corpus) and how well an instance's patterns are trusted. Trusted
-patterns discover identifiers that no fixed pattern knows; their spans are added to the fixed ones.
+The fixed patterns give seed entities. The two words before an entity, the one before and the one after, each
+with the entity's shape, are its lexical patterns. Shapes are those that seeds have: an address sign (@, or
+spelt out), four numbers up to 255 with dots, plain or in brackets, and as many digits as phones or cards have,
+the latter with their check digit. In a graph of patterns and instances, Spark scores in turn
+which share of all that a pattern holds in the corpus are instances of a kind, and how well an instance's
+patterns are trusted. Trusted patterns discover identifiers that no fixed pattern knows; their spans are added.
 """
 
 from __future__ import annotations
@@ -11,23 +13,18 @@ from __future__ import annotations
 import re
 from bisect import bisect
 from collections.abc import Iterator
-from functools import partial
 from hashlib import sha256
-from zlib import crc32
 
-import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm._shared import documents, shared_table
+from paperloom.llm._shared import documents, shared_table, split_join
 
 KINDS = ("email", "ip", "card", "phone")
-#: A pattern needs this share of its occurrences, and this many distinct instances, to be trusted.
-CONFIDENCE, SUPPORT, ROUNDS = 0.5, 3, 2
-#: Bits of the filter through which the contexts of all texts pass before they are counted.
-FILTER_BITS = 20
+#: A pattern needs this share of what it holds, and this many distinct instances, to be trusted.
+CONFIDENCE, SUPPORT, ROUNDS = 0.5, 3, 3
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -39,11 +36,15 @@ TOKEN = re.compile(r"\S*[0-9@]\S*")
 GROUP = re.compile(r"[(\[+]*[0-9][0-9()\[\].+/-]*[,;:!?]*")
 #: The sign between the parts of a spelt-out address, its dots, and what follows the sign.
 AT = re.compile(r"(?i)[\[({<][ \t]?(?:at|@)[ \t]?[\])}>]|(?<=[ \t])at(?=[ \t])")
+BRACKETED = re.compile(r"(?i)\w[\[({<]at[\])}>]\w")
 DOT = r"(?i:[ \t]dot[ \t]|[ \t]?[\[({<][ \t]?(?:dot|\.)[ \t]?[\])}>][ \t]?|\.)"
 DOT_BEFORE = re.compile(DOT + r"\Z")
 SPELT_DOMAIN = re.compile(rf"[A-Za-z0-9-]+(?:{DOT}[A-Za-z0-9-]+)+")
-#: Longer instances are known by their digest.
+#: Longer instances and words of a context are known by their digest.
 LONG = 64
+NEXT = re.compile(r"\S*\s+(\S+)")
+#: Digits of a phone, also without its country code, and of a card.
+PHONE_DIGITS, CARD_DIGITS = range(7, 16), range(16, 20)
 EDGES = ".,;:!?()[]{}<>\"'|*#&$%"
 
 
@@ -102,16 +103,47 @@ def fixed_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def _name(word: str) -> str:
+    return word if len(word) <= LONG else sha256(word.encode("utf-8", "replace")).hexdigest()
+
+
 def context(text: str, at: int) -> str:
     """The two words before the token in which position at lies, in lower case, by a space; ^ for a missing one."""
-    head = text[max(0, at - 160) : at]
-    cut = len(head.rstrip())
-    if cut == len(head):  # the entity does not open its token
-        cut = max(head.rfind(c) for c in " \t\n\r\v\f") + 1
-    words = head[:cut].lower().split()[-2:]
+    width = 160
+    while True:  # wider until two whole words are in sight
+        head = text[max(0, at - width) : at]
+        cut = len(head.rstrip())
+        if cut == len(head):  # the entity does not open its token
+            cut = max(head.rfind(c) for c in " \t\n\r\v\f") + 1
+        words = head[:cut].split()
+        if at <= width or len(words) > 2:
+            break
+        width *= 4
+    words = [_name(w.lower()) for w in words[-2:]]
     return " ".join(["^"] * (2 - len(words)) + words)
 
 
+def follower(text: str, end: int) -> str:
+    """The word after the token in which position end lies, in lower case; $ if there is none."""
+    m = NEXT.match(text, end)
+    return _name(m.group(1).lower()) if m else "$"
+
+
+def shape(word: str) -> str:
+    """at, dots, card or phone; empty for what has no seed's shape."""
+    if "@" in word or BRACKETED.search(word):
+        return "at"
+    digits = re.sub("[^0-9]", "", word)
+    if len(digits) < 4 or any(map(str.isalpha, word)):
+        return ""
+    parts = word.replace("[.]", ".").replace("(.)", ".").split(".")
+    if len(parts) == 4 and all(p.isdigit() and len(p) < 4 and int(p) <= 255 for p in parts):
+        return "dots"
+    if len(digits) in CARD_DIGITS:
+        return "card" if luhn(digits) else ""
+    return "phone" if len(digits) in PHONE_DIGITS else ""
+
+
 def _spelt(text: str) -> Iterator[tuple[int, int]]:
     """Addresses such as user at example dot com or user [at] example.com."""
     done = 0
@@ -137,11 +169,11 @@ def _spelt(text: str) -> Iterator[tuple[int, int]]:
 
 
 def _candidates(text: str, covered: list[tuple[int, int]]) -> Iterator[tuple[int, int, int]]:
-    """(start, end, where its tokens start) of digit-group runs and other tokens with an @ or four digits that touch nothing covered."""
+    """(start, end, where its tokens start) of digit-group runs and other tokens of a seed's shape that touch nothing covered."""
 
     def trimmed(a: int, b: int) -> Iterator[tuple[int, int, int]]:
         word = text[a:b].strip(EDGES)
-        if len(word) < 4 or "@" not in word and sum(map(str.isdigit, word)) < 4:
+        if not shape(word):
             return
         start = text.index(word, a)
         end = start + len(word)
@@ -179,7 +211,8 @@ def scan(text: str | None) -> tuple[list[tuple], list[tuple]]:
     text = text or ""
     marked = re.search("[0-9@]", text)
     base = fixed_spans(text) if marked else []
-    seen = [(k, a, b, text[a:b].lower(), context(text, a)) for k, a, b in base]
+    shapes = ("at", "dots", "card", "phone")
+    seen = [(k, a, b, _name(text[a:b].lower()), context(text, a), follower(text, b), shapes[k]) for k, a, b in base]
     covered: list[tuple[int, int]] = []
     for a, b in sorted((a, b) for _, a, b in base):
         if covered and a < covered[-1][1]:
@@ -189,16 +222,16 @@ def scan(text: str | None) -> tuple[list[tuple], list[tuple]]:
     free = lambda a, b: all(y <= a or x >= b for x, y in covered[max(bisect(covered, (a,)) - 1, 0) :][:2])
     spelt = [(a, b) for a, b in _spelt(text) if free(a, b)]
     covered = sorted(covered + spelt)
-    found = [(a, b, a) for a, b in spelt] + (list(_candidates(text, covered)) if marked else [])
-    for a, b, token in sorted(found):
-        word = text[a:b].lower()
-        seen.append((-1, a, b, word if len(word) <= LONG else sha256(word.encode("utf-8", "replace")).hexdigest(), context(text, token)))
+    found = [(a, b, a, "at") for a, b in spelt] + [(a, b, t, shape(text[a:b])) for a, b, t in (_candidates(text, covered) if marked else [])]
+    for a, b, token, form in sorted(found):
+        seen.append((-1, a, b, _name(text[a:b].lower()), context(text, token), follower(text, b), form))
     return base, seen
 
 
+SEEN_NAMES = ("k", "start", "end", "inst", "ctx", "next", "shape")
 SPAN = pa.struct([("k", pa.int32()), ("start", pa.int64()), ("end", pa.int64())])
-SEEN = pa.struct([("k", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("inst", pa.string()), ("ctx", pa.string())])
-SCHEMA = "row long, doc_id long, base array<struct<k:int,start:long,end:long>>, seen array<struct<k:int,start:long,end:long,inst:string,ctx:string>>"
+SEEN = pa.struct([("k", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), *[(n, pa.string()) for n in SEEN_NAMES[3:]]])
+SCHEMA = "row long, doc_id long, base array<struct<k:int,start:long,end:long>>, seen array<struct<k:int,start:long,end:long,inst:string,ctx:string,next:string,shape:string>>"
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,83 +239,50 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [scan(t.as_py()) for t in batch.column(1)]
         base = [[dict(zip(("k", "start", "end"), x)) for x in b] for b, _ in found]
-        seen = [[dict(zip(("k", "start", "end", "inst", "ctx"), x)) for x in s] for _, s in found]
+        seen = [[dict(zip(SEEN_NAMES, x)) for x in s] for _, s in found]
         rows = pa.array(range(row, row + len(found)), pa.int64())
         row += len(found)
         yield pa.RecordBatch.from_arrays([rows, batch.column(0), pa.array(base, pa.list_(SPAN)), pa.array(seen, pa.list_(SEEN))], ["row", "doc_id", "base", "seen"])
 
 
-def _bit(pattern: str) -> int:
-    return crc32(pattern.encode()) & ((1 << FILTER_BITS) - 1)
-
-
-def _contexts(batches: Iterator[pa.RecordBatch], bits) -> Iterator[pa.RecordBatch]:
-    """Counts of the one- and two-word contexts that pass the filter, by batch."""
-    wanted = bits.value
-    for batch in batches:
-        counts: dict[str, int] = {}
-        known: dict[str, bool] = {}
-        for text in batch.column(0):
-            words = ["^", "^", *(text.as_py() or "").lower().split()]
-            for two in zip(words, words[1:]):
-                for pattern in (two[1], " ".join(two)):
-                    hit = known.get(pattern)
-                    if hit is None:
-                        hit = known[pattern] = bool(wanted[_bit(pattern)])
-                    if hit:
-                        counts[pattern] = counts.get(pattern, 0) + 1
-            if len(known) > 500_000:
-                known.clear()
-        yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["pattern", "n"])
-
-
 def occurrences(scanned: DataFrame) -> DataFrame:
-    """row, k, start, end, inst, pattern: one row for each of the two patterns of each occurrence."""
+    """row, k, start, end, inst, pattern: one row for each of the three patterns of each occurrence; words hold no space, so patterns are told apart."""
     rows = scanned.select("row", F.explode("seen").alias("s")).select("row", "s.*")
-    return rows.withColumn("pattern", F.explode(F.array(F.col("ctx"), F.element_at(F.split("ctx", " "), 2)))).drop("ctx")
+    two, one, right = F.col("ctx"), F.element_at(F.split("ctx", " "), 2), F.col("next")
+    patterns = [F.concat_ws(" ", *p, F.col("shape")) for p in ((two, F.lit("_")), (one, F.lit("_")), (F.lit("_"), right))]
+    return rows.withColumn("pattern", F.explode(F.array(*patterns))).drop("ctx", "next", "shape")
 
 
-def context_totals(docs: DataFrame, patterns: DataFrame) -> DataFrame:
-    """pattern, total: how often each of patterns stands in the texts."""
-    hashed = patterns.select((F.crc32(F.col("pattern").cast("binary")) % (1 << FILTER_BITS)).alias("bit")).distinct()
-    bits = np.zeros(1 << FILTER_BITS, bool)
-    bits[[r["bit"] for r in hashed.collect()]] = True  # 2 ** FILTER_BITS rows at most
-    totals = docs.select(F.col("text").cast("string")).mapInArrow(partial(_contexts, bits=docs.sparkSession.sparkContext.broadcast(bits)), "pattern string, n long")
-    return totals.groupBy("pattern").agg(F.sum("n").alias("total")).join(patterns, "pattern", "left_semi")
+def _best(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, kind, value) with the kind of the greatest value for each key, the first listed of equal ones."""
+    best = rows.groupBy(key).agg(F.max(F.struct(F.col(value), -F.col("kind"))).alias("b"))
+    return best.select(key, (-F.col("b.col2")).alias("kind"), F.col(f"b.{value}").alias(value))
 
 
-def discover(docs: DataFrame, scanned: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def discover(scanned: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """row, k, start, end of the spans that trusted patterns add; a span has one kind.
 
-    The patterns of each round are those of all instances scored so far, seeds and found. The texts are counted
-    again only for patterns that no earlier round had.
+    The patterns of each round are those of all instances scored so far, seeds and found. Frequent patterns and
+    instances are joined on the map side, so that none is gathered in one task.
     """
     edges = shared_table(occurrences(scanned).groupBy("pattern", "inst", "k").agg(F.count(F.lit(1)).alias("n")), "edges")
     # with fewer instances of any kind a pattern cannot have the support
-    many = edges.groupBy("pattern").agg(F.countDistinct("inst").alias("d")).where(F.col("d") >= SUPPORT).select("pattern")
-    graph = shared_table(edges.join(many, "pattern", "left_semi"), "graph")
-    seeds = edges.where("k >= 0").select("inst", F.col("k").alias("kind")).distinct().withColumn("score", F.lit(1.0))
+    many = edges.groupBy("pattern").agg(F.countDistinct("inst").alias("d"), F.sum("n").alias("total")).where(F.col("d") >= SUPPORT)
+    graph = shared_table(split_join(edges, shared_table(many.select("pattern", "total"), "many"), "pattern"), "graph")
+    seeds = edges.where("k >= 0").groupBy("inst").agg(F.min("k").alias("kind")).withColumn("score", F.lit(1.0))
     seeds = scores = shared_table(seeds, "seeds")
-    totals = None
+    unknown = graph.where("k < 0")
     for _ in range(rounds):
-        known = graph.join(scores, "inst").groupBy("pattern", "kind").agg(F.sum(F.col("score") * F.col("n")).alias("weight"), F.countDistinct("inst").alias("support"))
-        known = shared_table(known.where(F.col("support") >= SUPPORT), "known")
-        fresh = known.select("pattern").distinct()
-        fresh = shared_table(fresh if totals is None else fresh.join(totals, "pattern", "left_anti"), "patterns")
-        if not fresh.isEmpty():
-            counted = shared_table(context_totals(docs, fresh), "totals")
-            totals = counted if totals is None else totals.union(counted)
-        if totals is None:
-            break
-        trusted = known.join(totals, "pattern").withColumn("trust", F.col("weight") / F.col("total"))
-        trusted = trusted.where(F.col("trust") >= CONFIDENCE).select("pattern", "kind", "trust")
-        found = graph.where("k < 0").join(trusted, "pattern").groupBy("inst", "kind").agg(F.max("trust").alias("score"))
-        best = F.row_number().over(Window.partitionBy("inst").orderBy(F.col("score").desc(), "kind"))
-        found = found.withColumn("nth", best).where("nth = 1").drop("nth")
-        scores = shared_table(seeds.union(found), "scores")
-    new = scores.join(seeds.select("inst").distinct(), "inst", "left_anti").select("inst", "kind")
-    unknown = scanned.select("row", F.explode("seen").alias("s")).select("row", "s.*").where("k < 0")
-    return unknown.join(new, "inst").select("row", F.col("kind").alias("k"), "start", "end")
+        known = split_join(graph, scores, "inst").groupBy("pattern", "kind")
+        known = known.agg(F.sum(F.col("score") * F.col("n")).alias("weight"), F.countDistinct("inst").alias("support"), F.max("total").alias("total"))
+        trusted = known.withColumn("trust", F.col("weight") / F.col("total")).where((F.col("support") >= SUPPORT) & (F.col("trust") >= CONFIDENCE))
+        trusted = shared_table(_best(trusted, "pattern", "trust"), "trusted")
+        found = split_join(unknown, trusted, "pattern").groupBy("inst", "kind").agg(F.max("trust").alias("score"))
+        found = _best(found, "inst", "score").join(seeds, "inst", "left_anti")
+        scores = shared_table(seeds.unionByName(found), "scores")
+    new = shared_table(scores.join(seeds, "inst", "left_anti").select("inst", F.col("kind").alias("found")), "new")
+    rows = scanned.select("row", F.explode("seen").alias("s")).select("row", "s.*").where("k < 0").select("row", "start", "end", "inst")
+    return split_join(rows, new, "inst").select("row", F.col("found").alias("k"), "start", "end")
 
 
 def _joined(spans: F.Column) -> F.Column:
@@ -298,7 +298,7 @@ def find_personal_data(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """
     plain = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     scanned = shared_table(plain.mapInArrow(_scan, SCHEMA), "scanned")
-    added = discover(plain, scanned, rounds).groupBy("row").agg(F.collect_list(F.struct("k", "start", "end")).alias("more"))
+    added = discover(scanned, rounds).groupBy("row").agg(F.collect_list(F.struct("k", "start", "end")).alias("more"))
     rows = scanned.select("row", "doc_id", "base").join(added, "row", "left")
     count = lambda i: F.size(F.filter("base", lambda s: s["k"] == i)).cast("long")
     none = F.expr("cast(array() as array<struct<k:int,start:bigint,end:bigint>>)")
