@@ -2,9 +2,9 @@
 
 Every document is measured once. For each language, source and length class a logarithmic quantile sketch
 of each measure is kept: counts by bucket, each bucket 2 % wider than the one before, which merge by
-addition. Fences at FAR interquartile ranges beyond the quartiles replace fixed cutoffs. Sketches of groups
-with few documents are merged over the sources of their language, and the fences are joined to the
-documents.
+addition. Fences lie beyond the deciles by REACH times the distance from median to decile, and replace fixed
+cutoffs. A group's fences are drawn to those of its language over all sources, the more the fewer documents it
+has, and are joined to the documents.
 """
 
 from __future__ import annotations
@@ -19,10 +19,10 @@ from pyspark.sql import functions as F
 from paperloom.llm._shared import documents, shared_table
 
 MIN_WORDS, MAX_REPEATS, WINDOW, SYMBOLS = 10, 20, 5, "#*$%&|<>"
-#: Relative width of a sketch bucket, fences in interquartile ranges, and documents a sketch needs to stand alone.
-GAMMA, FAR, FEW = 1.02, 6.0, 100
-#: Least spread of each measure that is taken for an interquartile range.
-MEASURES = {"mean_length": 0.25, "symbol_rate": 0.02, "dup_rate": 0.1, "repeat_rate": 0.04}
+#: Relative width of a sketch bucket, fences in distances from median to decile, and the documents that a language's fences weigh.
+GAMMA, REACH, PRIOR = 1.02, 3.0, 100
+#: Least distance of each measure that is taken from median to decile.
+MEASURES = {"mean_length": 0.25, "symbol_rate": 0.04, "dup_rate": 0.12, "repeat_rate": 0.055}
 SPACE = " \t\n\v\f\r"
 
 
@@ -73,11 +73,11 @@ def fences(sketch: DataFrame, keys: list[str]) -> DataFrame:
     sofar = F.sum("n").over(group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
     ranked = sketch.withColumn("total", F.sum("n").over(group)).withColumn("sofar", sofar)
     value = F.when(F.col("bucket") == -(10**6), 0.0).otherwise(F.pow(F.lit(GAMMA), "bucket") * 2 / (1 + GAMMA))
-    quartile = lambda q: F.min(F.when(F.col("sofar") >= F.col("total") * q, value))
-    per = ranked.groupBy(*keys, "measure").agg(F.max("total").alias("docs"), quartile(0.25).alias("q1"), quartile(0.75).alias("q3"))
+    quantile = lambda q: F.min(F.when(F.col("sofar") >= F.col("total") * q, value))
+    per = ranked.groupBy(*keys, "measure").agg(F.max("total").alias("docs"), quantile(0.1).alias("q1"), quantile(0.5).alias("q5"), quantile(0.9).alias("q9"))
     least = F.element_at(F.create_map(*[F.lit(x) for kv in MEASURES.items() for x in kv]), F.col("measure"))
-    reach = F.greatest(F.col("q3") - F.col("q1"), least) * FAR
-    per = per.withColumn("low", F.col("q1") - reach).withColumn("high", F.col("q3") + reach)
+    per = per.withColumn("low", F.col("q1") - REACH * F.greatest(F.col("q5") - F.col("q1"), least))
+    per = per.withColumn("high", F.col("q9") + REACH * F.greatest(F.col("q9") - F.col("q5"), least))
     pick = lambda m, side: F.max(F.when(F.col("measure") == m, F.col(side))).alias(f"{side}_{m}")
     return per.groupBy(*keys).agg(F.max("docs").alias("docs"), *[pick(m, side) for m in MEASURES for side in ("low", "high")])
 
@@ -104,7 +104,8 @@ def apply_rules(docs: DataFrame) -> DataFrame:
     wide = wide.select("l", "size", *[F.col(c).alias(f"wide_{c}") for c in wide.columns[3:]])
     own = own.join(wide, ["l", "size"])
     sides = [f"{side}_{m}" for m in MEASURES for side in ("low", "high")]
-    own = own.select("l", "s", "size", *[F.when(F.col("docs") >= FEW, F.col(c)).otherwise(F.col(f"wide_{c}")).alias(c) for c in sides])
+    weight = F.col("docs") / (F.col("docs") + PRIOR)
+    own = own.select("l", "s", "size", *[(weight * F.col(c) + (1 - weight) * F.col(f"wide_{c}")).alias(c) for c in sides])
     judged = measured.join(own, ["l", "s", "size"], "left")
     out = F.array_compact(F.array(*[F.when((F.col(m) < F.col(f"low_{m}")) | (F.col(m) > F.col(f"high_{m}")), F.lit(m)) for m in MEASURES]))
     judged = judged.withColumn("failed_rules", F.when(F.col("base_failed"), F.array(F.lit("base"))).otherwise(out))
