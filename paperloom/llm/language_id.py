@@ -178,7 +178,7 @@ def _score(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]
         n, nats = m.entropies(t.as_py() for t in batch.column(1))
         best = nats.argmin(axis=1)
         least = nats.min(axis=1)
-        gap = (nats - least[:, None]) * np.minimum(n, 200)[:, None]
+        gap = (nats - least[:, None]) * n[:, None]
         score = np.where(n > 0, 1 / np.exp(-gap).sum(axis=1), 0.0)
         pred = [m.langs[b] if k else UNKNOWN for b, k in zip(best, n)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(score), pa.array(n, pa.int64()), pa.array(least), pa.array(m.accepts(best, least, n))], ["doc_id", "lang_pred", "score", "n_scored", "nats", "accepted"])
@@ -194,7 +194,7 @@ SCORED = "doc_id long, lang_pred string, score double, n_scored long, nats doubl
 
 
 def predict(docs: DataFrame, model) -> DataFrame:
-    """One row per row of docs: doc_id, lang_pred, score (0 to 1), n_scored, nats (cross-entropy a character), accepted.
+    """One row per row of docs: doc_id, lang_pred, score (the language's probability among those learned), n_scored, nats (cross-entropy a character), accepted.
 
     A text that is null or has no letter gets und, score 0 and is not accepted. Texts are read whole; null
     doc_ids and repeated rows are kept. No rows give no rows; only doc_id and text are read.

@@ -18,7 +18,14 @@ from pyspark.sql import functions as F
 from paperloom.llm._shared import documents, shared_table
 
 #: Equivalent spellings, replaced after lower-casing.
-SPELLINGS = (("licence", "license"), ("sub-license", "sublicense"), ("merchantibility", "merchantability"), ("copyright holder", "copyright owner"), ("noncommercial", "non-commercial"), ("https", "http"))
+SPELLINGS = (
+    ("licence", "license"), ("sub-license", "sublicense"), ("merchantibility", "merchantability"), ("copyright holder", "copyright owner"), ("noncommercial", "non-commercial"), ("https", "http"),
+    ("acknowledgment", "acknowledgement"), ("analogue", "analog"), ("analyse", "analyze"), ("artefact", "artifact"), ("authoris", "authoriz"), ("calibre", "caliber"), ("cancelled", "canceled"),
+    ("catalogue", "catalog"), ("categorise", "categorize"), ("centre", "center"), ("emphasised", "emphasized"), ("favour", "favor"), ("fulfilment", "fulfillment"), ("initialise", "initialize"),
+    ("judgment", "judgement"), ("labelling", "labeling"), ("labour", "labor"), ("maximise", "maximize"), ("modelled", "modeled"), ("modelling", "modeling"), ("offence", "offense"),
+    ("optimise", "optimize"), ("organis", "organiz"), ("practise", "practice"), ("programme", "program"), ("realise", "realize"), ("recognise", "recognize"), ("signalling", "signaling"),
+    ("utilis", "utiliz"), ("whilst", "while"), ("wilful", "willful"), ("per cent", "percent"),
+)
 COPYRIGHT = r"(?m)^[^\n]*(copyright \(c\)|copyright ©|©|\(c\) [0-9]{4}|copyright [0-9]{4}|all rights reserved)[^\n]*$"
 
 #: A copyright clause runs from its mark to the end of the sentence or line, or to words with which a licence opens.
