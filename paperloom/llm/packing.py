@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import cache, partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from paperloom.llm._shared import documents, running_total, shared_table, shuffl
 
 LENGTH, END, MARK, VOCABULARY = 1024, 0, "<|endoftext|>", "byte_bpe_50k.json"
 #: Chunks of at most so many characters are remembered, and so many of them.
-SHORT, MOST = 40, 600_000
+SHORT, MOST = 40, 250_000
 CHUNK = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
 #: Other white space, or what may count as such: texts with it are not cut.
 RARE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028-\u202f\u205f\u3000\ufeff]")
@@ -57,8 +58,6 @@ class Encoder:
             starts = (4 * np.flatnonzero(self.opens[ids])).tolist()
             line = ids.tobytes()
             found |= {w: line[a:b] for w, a, b in zip(words, starts, [*starts[1:], len(line)], strict=True)}
-        if len(self.known) < MOST:
-            self.known |= {c: ids for c, ids in found.items() if len(c) <= SHORT}
         return found
 
     def ids(self, texts: list[str]) -> Iterator[np.ndarray]:
@@ -66,16 +65,18 @@ class Encoder:
         plain = [not (MARK in t or RARE.search(t)) for t in texts]
         others = iter(self.whole([t for t, p in zip(texts, plain) if not p]))
         cut = [CHUNK.findall(t) if p else None for t, p in zip(texts, plain)]
-        held = [c and list(map(self.known.get, c)) for c in cut]
-        found = self.learn({c for chunks, got in zip(cut, held) if chunks and None in got for c, ids in zip(chunks, got) if ids is None})
+        found = self.learn(set(chain.from_iterable(filter(None, cut))).difference(self.known))
+        room = len(self.known) < MOST
+        self.known |= found
         end = np.array([END], "<u4").tobytes()
-        for chunks, got in zip(cut, held):
+        for chunks in cut:
             if chunks is None:
                 yield np.array([*next(others), END], "<u4")
             else:
-                if None in got:
-                    got = [found[c] if ids is None else ids for c, ids in zip(chunks, got)]
-                yield np.frombuffer(b"".join([*got, end]), "<u4")
+                yield np.frombuffer(b"".join(map(self.known.__getitem__, chunks)) + end, "<u4")
+        for c in found:
+            if not room or len(c) > SHORT:
+                del self.known[c]
 
 
 @cache
@@ -86,8 +87,8 @@ def encoder(path: str | None = None) -> Encoder:
 def _pieces(batches: Iterator[pa.RecordBatch], length: int, path: str | None) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "start", "length", "doc_tokens", "ids"]
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part, rows = batch.slice(at, 256), []
+        for at in range(0, batch.num_rows, 512):
+            part, rows = batch.slice(at, 512), []
             texts = [t or "" for t in part.column(1).to_pylist()]
             for doc_id, ids in zip(part.column(0).to_pylist(), encoder(path).ids(texts)):
                 rows += [(doc_id, s, len(x), len(ids), x.tobytes()) for s in range(0, len(ids), length) for x in (ids[s : s + length],)]
