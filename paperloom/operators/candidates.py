@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as T
@@ -13,18 +13,30 @@ def discover(pages: DataFrame) -> DataFrame:
 
     reason is the first that holds: SKIPPED_TINY_INPUT (one row a page, whose text is short), REJECTED_TINY,
     REJECTED_OCR_GARBAGE, REJECTED_NO_SIGNAL, REJECTED_MIXED_MULTI, over_parent_cap; null if accepted.
+    The sentences of a page are one array: they are judged, numbered and capped in it, so that nothing is shuffled.
     """
     tiny = F.length(F.trim("text")) < T.TINY_PARENT
-    skipped = pages.where(tiny).select("document", "page", F.lit(0).alias("line"), F.lit(0).alias("n"), F.lit("").alias("sentence"), F.lit("").alias("signals"), F.lit("SKIPPED_TINY_INPUT").alias("reason"), F.lit(None).cast("int").alias("seq"))
-    held = pages.where(~tiny).select("document", "page", F.inline(T.sentences(F.col("text")))).withColumn("hits", T.signals(F.col("sentence")))
-    hits = F.size("hits")
-    reason = F.when(F.length("sentence") < T.LEAST_CHARS, "REJECTED_TINY").when(T.printable_ratio(F.col("sentence")) < T.LEAST_PRINTABLE, "REJECTED_OCR_GARBAGE").when(hits == 0, "REJECTED_NO_SIGNAL").when(hits > T.MOST_SIGNALS, "REJECTED_MIXED_MULTI")
-    held = held.withColumn("reason", reason).withColumn("signals", F.array_join("hits", ",")).drop("hits")
-    order = Window.partitionBy("document", "page", F.col("reason").isNull()).orderBy("line", "n")
-    held = held.withColumn("seq", F.when(F.col("reason").isNull(), F.row_number().over(order)))
-    over = F.col("seq") > T.MOST_ACCEPTED
-    held = held.withColumn("reason", F.when(over, "over_parent_cap").otherwise(F.col("reason"))).withColumn("seq", F.when(~over, F.col("seq")))
-    return skipped.union(held.select(skipped.columns))
+    columns = ["document", "page", "line", "n", "sentence", "signals", "reason", "seq"]
+    none = [F.lit(0).alias("line"), F.lit(0).alias("n"), F.lit("").alias("sentence"), F.lit("").alias("signals"), F.lit("SKIPPED_TINY_INPUT").alias("reason"), F.lit(None).cast("int").alias("seq")]
+    skipped = pages.where(tiny).select("document", "page", *none)
+
+    def row(s: Column, signals: Column, reason: Column, seq: Column) -> Column:
+        return F.struct(s["line"].alias("line"), s["n"].alias("n"), s["sentence"].alias("sentence"), signals.alias("signals"), reason.alias("reason"), seq.cast("int").alias("seq"))
+
+    def judge(s: Column) -> Column:
+        early = F.when(F.length(s["sentence"]) < T.LEAST_CHARS, "REJECTED_TINY").when(T.printable_ratio(s["sentence"]) < T.LEAST_PRINTABLE, "REJECTED_OCR_GARBAGE")
+        named = lambda h: row(s, F.array_join(h, ","), F.coalesce(early, F.when(F.size(h) == 0, "REJECTED_NO_SIGNAL").when(F.size(h) > T.MOST_SIGNALS, "REJECTED_MIXED_MULTI")), F.lit(None))
+        hits = F.when(F.rlike(F.lower(s["sentence"]), F.lit(T.ANY_SIGNAL)), T.signals(s["sentence"])).otherwise(F.array().cast("array<string>"))
+        return F.transform(F.array(hits), named)[0]
+
+    def number(s: Column, at: Column) -> Column:
+        over = at >= T.MOST_ACCEPTED
+        return row(s, s["signals"], F.when(over, "over_parent_cap"), F.when(~over, at + 1))
+
+    held = pages.where(~tiny).select("document", "page", F.transform(T.sentences(F.col("text")), judge).alias("judged"))
+    accepted = F.transform(F.filter("judged", lambda s: s["reason"].isNull()), number)
+    rejected = F.filter("judged", lambda s: s["reason"].isNotNull())
+    return skipped.select(columns).union(held.select("document", "page", F.inline(F.concat(accepted, rejected))).select(columns))
 
 
 def exact_duplicates(candidates: DataFrame) -> DataFrame:

@@ -15,27 +15,37 @@ def _all(pattern: str, *groups: int) -> Column:
 
 
 def facts(pages: DataFrame) -> DataFrame:
-    """document, page, fact, value: every value of every fact pattern, from one pass over the pages."""
-    each = [F.transform(F.regexp_extract_all("text", F.lit(p), F.lit(1)), _named(f)) for f, _, p in T.FACTS]
-    return pages.select("document", "page", F.inline(F.concat(*each)))
+    """document, page, fact, value, quote: every fact of every sentence without a word that says it is none; periods in the fact's unit."""
+    rows = pages.select("document", "page", F.explode(T.sentences(F.col("text"))["sentence"]).alias("text")).where(~F.col("text").rlike(T.FACT_SKIP))
+    each = [F.transform(F.arrays_zip(F.regexp_extract_all("text", F.lit(p), F.lit(1)).alias("v"), F.regexp_extract_all("text", F.lit(p), F.lit(2)).alias("u")), _named(f)) for f, _, p in T.FACTS]
+    return rows.select("document", "page", F.substring(F.regexp_replace("text", r"\s+", " "), 1, 300).alias("quote"), F.inline(F.concat(*each))).select("document", "page", "fact", "value", "quote")
 
 
 def _named(fact: str):
-    return lambda v: F.struct(F.lit(fact).alias("fact"), v.cast("double").alias("value"))
+    def of(x: Column) -> Column:
+        factor = F.lit(1)
+        for unit, n in T.FACT_UNITS:
+            factor = F.when(F.lower(x["u"]) == unit, n).otherwise(factor) if fact == "completion" and unit != "years" or fact == "warranty" and unit == "years" else factor
+        return F.struct(F.lit(fact).alias("fact"), (x["v"].cast("double") * factor).alias("value"))
+
+    return of
 
 
 def fact_conflicts(found: DataFrame) -> DataFrame:
-    """Values of facts that have two values or more in two documents or more: documents, first page."""
-    per = found.groupBy("fact", "value").agg(F.countDistinct("document").alias("documents"), F.min("page").alias("first_page"))
+    """Values of facts that have two values or more in two documents or more: documents, first page and its quote."""
+    first = F.min(F.struct("page", "document", "quote")).alias("f")
+    per = found.groupBy("fact", "value").agg(F.countDistinct("document").alias("documents"), first)
     several = found.groupBy("fact").agg(F.countDistinct("value").alias("v"), F.countDistinct("document").alias("d")).where("v > 1 and d > 1").select("fact")
-    return per.join(several, "fact")
+    return per.join(several, "fact").select("fact", "value", "documents", F.col("f.page").alias("first_page"), F.col("f.quote").alias("quote"))
 
 
 def words_vs_digits(pages: DataFrame) -> DataFrame:
-    """Number words whose digits in brackets disagree, where either has a unit."""
-    rows = pages.select("document", "page", F.inline(_all(T.NUMBER_WORDS, 1, 2, 3, 4)))
+    """Number words whose digits in brackets disagree, where either has a unit; of one quote one, on the first page."""
+    rows = pages.select("document", "page", F.explode(T.sentences(F.col("text"))["sentence"]).alias("text"))
+    rows = rows.select("document", "page", F.substring(F.regexp_replace("text", r"\s+", " "), 1, 300).alias("quote"), F.inline(_all(T.NUMBER_WORDS, 1, 2, 3, 4)))
     rows = rows.withColumn("number", T.number_of(F.col("g0"))).withColumn("digits", F.col("g2").cast("int"))
-    return rows.where("number <> digits and (g1 <> '' or g3 <> '')").select("document", "page", F.lower("g0").alias("words"), "number", "digits")
+    rows = rows.where("number <> digits and (g1 <> '' or g3 <> '')").groupBy("quote").agg(F.min(F.struct("page", "document", F.lower("g0").alias("words"), "number", "digits")).alias("f"))
+    return rows.select("f.document", "f.page", "f.words", "f.number", "f.digits", "quote")
 
 
 def dates(pages: DataFrame, most: int = 3) -> DataFrame:

@@ -26,10 +26,10 @@ def bulk_price(demand: DataFrame, prices: DataFrame) -> DataFrame:
 
 
 def boq_cost(lines: DataFrame, current: DataFrame) -> DataFrame:
-    """Bill lines (tender_id, line, key, quantity) with price, cost and PRICED or PRICE_UNAVAILABLE; money is rounded to cents in totals only."""
+    """Bill lines (tender_id, line, key, quantity) with price, cost and PRICED or PRICE_UNAVAILABLE; each cost is rounded to cents."""
     rows = lines.join(current.select("key", "price"), "key", "left")
     status = F.when(F.col("price").isNull(), "PRICE_UNAVAILABLE").otherwise("PRICED")
-    return rows.select("tender_id", "line", "key", "quantity", "price", (F.col("quantity") * F.col("price")).alias("cost"), status.alias("status"))
+    return rows.select("tender_id", "line", "key", "quantity", "price", (F.col("quantity") * F.col("price")).cast("decimal(24,8)").cast("decimal(20,2)").cast("double").alias("cost"), status.alias("status"))
 
 
 def cost_by(costs: DataFrame, *keys: str) -> DataFrame:

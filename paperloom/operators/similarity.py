@@ -31,6 +31,8 @@ def jaccard_pairs(rows: DataFrame, least: float) -> DataFrame:
 def checkpoint_folder(spark: SparkSession) -> None:
     """Checkpoints go to the folder in spark.checkpoint.dir; to one of our own only where none is set."""
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
 
 

@@ -175,7 +175,7 @@ n AS (SELECT p.* FROM p JOIN f USING (key, supplier, price_date)),
 c AS (SELECT key, price, supplier, price_date FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY min_qty, price, supplier, offer, line) AS nth FROM n) WHERE nth = 1),
 d AS (SELECT l_partkey AS key, sum(l_quantity) AS quantity FROM lineitem GROUP BY 1),
 b AS (SELECT key, d.quantity, min(price) AS bulk_price FROM d JOIN n USING (key) WHERE min_qty > 0 AND min_qty <= d.quantity GROUP BY 1, 2),
-x AS (SELECT l_orderkey AS tender_id, l_linenumber AS line, l_partkey AS key, l_quantity AS quantity, price, l_quantity * price AS cost, CASE WHEN price IS NULL THEN 'PRICE_UNAVAILABLE' ELSE 'PRICED' END AS status FROM lineitem LEFT JOIN (SELECT * FROM c WHERE key % 10 <> 0) c ON key = l_partkey)"""
+x AS (SELECT l_orderkey AS tender_id, l_linenumber AS line, l_partkey AS key, l_quantity AS quantity, price, (l_quantity * price)::DECIMAL(24,8)::DECIMAL(20,2)::DOUBLE AS cost, CASE WHEN price IS NULL THEN 'PRICE_UNAVAILABLE' ELSE 'PRICED' END AS status FROM lineitem LEFT JOIN (SELECT * FROM c WHERE key % 10 <> 0) c ON key = l_partkey)"""
 
 
 def _prices(spark, sf):

@@ -27,28 +27,35 @@ def _stream(spark, sf):
 
 @query("SELECT user_id AS job, arg_max(event_type, (ts, event_id)) AS stage, count(*) AS events FROM events GROUP BY 1")
 def stream_latest_stage(spark, sf):
-    return S.finished(S.latest_stage(_stream(spark, sf)), "complete")
+    none = spark.createDataFrame([], "job long, stage string, at timestamp, event_id long, events long")
+    return S.finished_merge(_stream(spark, sf), none, S.merge_stages).select("job", "stage", "events")
 
 
-@query("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS events FROM events GROUP BY 1, 2")
+@query("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS events FROM events WHERE date_trunc('hour', ts) + INTERVAL 2 HOUR <= (SELECT max(date_trunc('millisecond', ts)) FROM events) GROUP BY 1, 2")
 def stream_hourly_counts(spark, sf):
-    rows = S.finished(S.hourly_counts(_stream(spark, sf)), "complete")
+    """Hours that the watermark has passed; later ones are still open."""
+    rows = S.finished(S.hourly_counts(_stream(spark, sf)))
     return rows.withColumn("hour", F.col("hour").cast("timestamp_ntz"))
 
 
 @query("SELECT event_id, user_id, event_type FROM events")
 def stream_dedup_upsert(spark, sf):
-    arrived = S.finished(S.distinct_arrivals(_stream(spark, sf)).select("event_id", "user_id", "event_type"), "append")
     current = table(spark, sf, "events").where("event_id % 2 = 0").select("event_id", "user_id", F.lit("old").alias("event_type"))
-    return S.upsert(current, arrived, "event_id")
+    return S.finished_merge(S.distinct_arrivals(_stream(spark, sf)), current, lambda old, new: S.upsert(old, new.select("event_id", "user_id", "event_type"), "event_id"))
 
 
-@query()
+@query("SELECT user_id AS job, date_trunc('millisecond', max(ts)) AS last, count(*) AS events FROM events WHERE event_type = 'error' GROUP BY 1 HAVING date_trunc('millisecond', max(ts)) + INTERVAL 180 SECOND < (SELECT max(date_trunc('millisecond', ts)) FROM events WHERE event_type = 'error') - INTERVAL 10 MINUTE")
 def stream_timeouts(spark, sf):
-    return S.finished(S.dead_jobs(_stream(spark, sf)), "append")
+    rows = S.finished(S.dead_jobs(_stream(spark, sf)))
+    return rows.withColumn("last", F.col("last").cast("timestamp_ntz"))
 
 
-@query("""SELECT user_id, make_timestamp((floor(epoch(ts) / 300)::BIGINT * 300 - back) * 1000000) AS start, count(*) AS events FROM events, (VALUES (0), (300), (600)) v(back) GROUP BY 1, 2 HAVING count(*) > 1""")
+@query("SELECT user_id, event_id, ts, failures FROM (SELECT *, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 24 HOUR PRECEDING AND CURRENT ROW) AS failures FROM events WHERE event_type = 'error') WHERE failures >= 2")
 def stream_sliding_limit(spark, sf):
-    rows = S.finished(S.sliding_limit(_stream(spark, sf), most=1), "complete")
-    return rows.withColumn("start", F.col("start").cast("timestamp_ntz"))
+    rows = S.finished(S.sliding_limit(_stream(spark, sf), seconds=86_400, most=2))
+    return rows.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query("SELECT user_id, event_id, ts, failures FROM (SELECT *, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 24 HOUR PRECEDING AND CURRENT ROW) AS failures FROM events WHERE event_type = 'error') WHERE failures >= 2")
+def sliding_limit(spark, sf):
+    return S.sliding_limit(table(spark, sf, "events"), seconds=86_400, most=2)

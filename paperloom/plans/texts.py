@@ -23,8 +23,8 @@ CLAUSES = (
     "SECTION 5 - SCHEDULE\nDelivery is to be confirmed. It shall start within 3 weeks from award.",
     "Bidder shall submit an ISO 9001 certificate with the bid, see Form 3.",
     "The 220 kV GIS transformer of 175 MVA needs type test reports and voltage records.",
-    "Liquidated damages apply for delay. Performance security equal to 5% of the price.",
-    "Health and safety plans and key personnel must be named within 30 days after signature.",
+    "Liquidated damages apply for delay, limited to 10%. Performance security equal to 5% of the price. The completion period is 18 months.",
+    "Health and safety plans and key personnel must be named within 30 days after signature. The contract period shall be 80 weeks; recover 3% retention per week.",
     "Payment of SAR 1,250,000 follows audited turnover and working capital figures.",
     "XLPE Cu cable 4x16 mm2 0.6/1 kV | m | 12,000\nCircuit breaker 3x400 A | no | 20",
     "PART II\nXLPE cable 4x16 mm2 1 kV | km | 8\nRefer to APPENDIX 7 and Annexure C.",
@@ -60,7 +60,7 @@ def _form_sql(column: str) -> str:
 # signals keep the first of each category; only COMMERCIAL stands twice among the patterns
 FOUND = f"""h AS (SELECT *, {_signal_sql()} AS raw FROM sent WHERE length(trim(text)) >= 300),
 hits AS (SELECT document, page, line, n, sentence, list_filter(raw, lambda x, i: NOT list_contains(raw[1:i - 1], x)) AS sig FROM h),
-ladder AS (SELECT *, CASE WHEN length(sentence) < 20 THEN 'REJECTED_TINY' WHEN length(regexp_replace(sentence, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', '', 'g'))::DOUBLE / length(sentence) < 0.7 THEN 'REJECTED_OCR_GARBAGE' WHEN len(sig) = 0 THEN 'REJECTED_NO_SIGNAL' WHEN len(sig) > 2 THEN 'REJECTED_MIXED_MULTI' END AS r FROM hits),
+ladder AS (SELECT *, CASE WHEN length(sentence) < 20 THEN 'REJECTED_TINY' WHEN (length(regexp_replace(sentence, '[\\p{{C}}\\p{{Z}}]', '', 'g')) + length(sentence) - length(translate(sentence, ' ' || chr(10) || chr(9), '')))::DOUBLE / length(sentence) < 0.7 THEN 'REJECTED_OCR_GARBAGE' WHEN len(sig) = 0 THEN 'REJECTED_NO_SIGNAL' WHEN len(sig) > 2 THEN 'REJECTED_MIXED_MULTI' END AS r FROM hits),
 seqd AS (SELECT *, CASE WHEN r IS NULL THEN row_number() OVER (PARTITION BY document, page, r IS NULL ORDER BY line, n) END AS k FROM ladder),
 cand AS (SELECT document, page, line, n, sentence, array_to_string(sig, ',') AS signals, CASE WHEN r IS NOT NULL THEN r WHEN k > 20 THEN 'over_parent_cap' END AS reason, CASE WHEN k <= 20 THEN k END AS seq FROM seqd
 UNION ALL SELECT document, page, 0, 0, '', '', 'SKIPPED_TINY_INPUT', NULL FROM pages_ WHERE length(trim(text)) < 300),
@@ -195,17 +195,21 @@ def page_ranges(spark, sf):
 
 
 def _facts_sql() -> str:
-    return " UNION ALL ".join(f"SELECT document, page, '{f}' AS fact, unnest(regexp_extract_all(text, '{p}', 1))::DOUBLE AS value FROM pages_" for f, _, p in T.FACTS)
+    factor = {"completion": "CASE lower(u) WHEN 'weeks' THEN 7 WHEN 'months' THEN 30 ELSE 1 END", "warranty": "CASE lower(u) WHEN 'years' THEN 12 ELSE 1 END"}
+    return " UNION ALL ".join(f"SELECT document, page, '{f}' AS fact, v::DOUBLE * ({factor.get(f, 1)}) AS value, q FROM (SELECT document, page, q, unnest(regexp_extract_all(sentence, '{p}', 1)) AS v, unnest(regexp_extract_all(sentence, '{p}', 2)) AS u FROM said)" for f, _, p in T.FACTS)
 
 
-@query(f"WITH {PAGES}, fa AS ({_facts_sql()}) SELECT fact, value, count(DISTINCT document) AS documents, min(page) AS first_page FROM fa WHERE fact IN (SELECT fact FROM fa GROUP BY 1 HAVING count(DISTINCT value) > 1 AND count(DISTINCT document) > 1) GROUP BY 1, 2")
+QUOTE = r"left(regexp_replace(sentence, '\s+', ' ', 'g'), 300)"
+
+
+@query(f"WITH {PAGES}, {SENTENCES}, said AS (SELECT *, {QUOTE} AS q FROM sent WHERE NOT regexp_matches(sentence, '{T.FACT_SKIP}')), fa AS ({_facts_sql()}) SELECT fact, value, count(DISTINCT document) AS documents, min(page) AS first_page, arg_min(q, (page, document, q)) AS quote FROM fa WHERE fact IN (SELECT fact FROM fa GROUP BY 1 HAVING count(DISTINCT value) > 1 AND count(DISTINCT document) > 1) GROUP BY 1, 2")
 def fact_conflicts(spark, sf):
     return facts.fact_conflicts(facts.facts(page_rows(spark, sf)))
 
 
-@query(f"""WITH {PAGES}, g AS (SELECT document, page, unnest(regexp_extract_all(text, '{T.NUMBER_WORDS}', 1)) AS w, unnest(regexp_extract_all(text, '{T.NUMBER_WORDS}', 2)) AS u, unnest(regexp_extract_all(text, '{T.NUMBER_WORDS}', 3))::INT AS digits, unnest(regexp_extract_all(text, '{T.NUMBER_WORDS}', 4)) AS v FROM pages_),
-m AS (SELECT *, list_sum(list_transform(string_split_regex(lower(w), '[ -]'), lambda x: map({list(T.ONES) + list(T.TENS)}, {[*range(20), *range(20, 100, 10)]})[x]))::INT AS number FROM g)
-SELECT document, page, lower(w) AS words, number, digits FROM m WHERE number <> digits AND (u <> '' OR v <> '')""")
+@query(f"""WITH {PAGES}, {SENTENCES}, g AS (SELECT document, page, {QUOTE} AS quote, unnest(regexp_extract_all(sentence, '{T.NUMBER_WORDS}', 1)) AS w, unnest(regexp_extract_all(sentence, '{T.NUMBER_WORDS}', 2)) AS u, unnest(regexp_extract_all(sentence, '{T.NUMBER_WORDS}', 3))::INT AS digits, unnest(regexp_extract_all(sentence, '{T.NUMBER_WORDS}', 4)) AS v FROM sent),
+m AS (SELECT *, CASE WHEN lower(w) IN ('hundred', 'one hundred', 'one-hundred') THEN 100 ELSE list_sum(list_transform(string_split_regex(lower(w), '[ -]'), lambda x: map({list(T.ONES) + list(T.TENS)}, {[*range(20), *range(20, 100, 10)]})[x]))::INT END AS number FROM g)
+SELECT arg_min(document, (page, document)) AS document, min(page) AS page, arg_min(lower(w), (page, document)) AS words, arg_min(number, (page, document)) AS number, arg_min(digits, (page, document)) AS digits, quote FROM m WHERE number <> digits AND (u <> '' OR v <> '') GROUP BY quote""")
 def words_vs_digits(spark, sf):
     return facts.words_vs_digits(page_rows(spark, sf))
 
