@@ -27,7 +27,7 @@ ORDER, UNKNOWN = 3, "und"
 #: Rejection lies at this quantile of the excess of held-out documents, by length class: under 64 characters, 256, and so on by fours.
 QUANTILE, CLASSES = 0.999, 6
 #: Characters scored at a time.
-PART = 400_000
+PART = 200_000
 
 
 @cache

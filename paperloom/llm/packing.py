@@ -27,7 +27,7 @@ from paperloom.llm._shared import documents, running_total, shared_table, shuffl
 
 LENGTH, END, MARK, VOCABULARY = 1024, 0, "<|endoftext|>", "byte_bpe_50k.json"
 #: Chunks of at most so many characters are remembered, and so many of them.
-SHORT, MOST = 40, 250_000
+SHORT, MOST = 40, 100_000
 CHUNK = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
 #: Other white space, or what may count as such: texts with it are not cut.
 RARE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028-\u202f\u205f\u3000\ufeff]")
@@ -87,8 +87,8 @@ def encoder(path: str | None = None) -> Encoder:
 def _pieces(batches: Iterator[pa.RecordBatch], length: int, path: str | None) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "start", "length", "doc_tokens", "ids"]
     for batch in batches:
-        for at in range(0, batch.num_rows, 512):
-            part, rows = batch.slice(at, 512), []
+        for at in range(0, batch.num_rows, 128):
+            part, rows = batch.slice(at, 128), []
             texts = [t or "" for t in part.column(1).to_pylist()]
             for doc_id, ids in zip(part.column(0).to_pylist(), encoder(path).ids(texts)):
                 rows += [(doc_id, s, len(x), len(ids), x.tobytes()) for s in range(0, len(ids), length) for x in (ids[s : s + length],)]
