@@ -22,7 +22,7 @@ CLAUSES = (
     "The performance bond shall be 10% of the Contract Price, see Annex B-2.",
     "SECTION 5 - SCHEDULE\nDelivery is to be confirmed. It shall start within 3 weeks from award.",
     "Bidder shall submit an ISO 9001 certificate with the bid, see Form 3.",
-    "The 220 kV GIS transformer of 175 MVA needs type test reports and voltage records.",
+    "The 220 kV GIS transformer of 175 MVA needs type test reports and voltage records, see 32-TMSS-01 and 01 - tmss - 02.",
     "Liquidated damages apply for delay, limited to 10%. Performance security equal to 5% of the price. The completion period is 18 months.",
     "Health and safety plans and key personnel must be named within 30 days after signature. The contract period shall be 80 weeks; recover 3% retention per week.",
     "Payment of SAR 1,250,000 follows audited turnover and working capital figures.",
