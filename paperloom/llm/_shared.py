@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: A key with this share of the rows is heavy; there are at most 1 / HEAVY of them. So many rows one task may hold, whatever their keys.
+HEAVY, ONE_TASK = 1 / 2000, 100_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,11 +78,14 @@ def running_total(df: DataFrame, group: list[str], order: list[str], value: str,
     return joined.drop("__slice", "__before")
 
 
-def ordered_totals(df: DataFrame, order: list[str], values: dict[str, str]) -> DataFrame:
-    """df as a written table, with the sum of each of values, {column: name of its total}, up to and including each row by order.
+def ordered_totals(df: DataFrame, order: list[str], values: dict[str, str], rows: int | None = None) -> DataFrame:
+    """df with the sum of each of values, {column: name of its total}, up to and including each row by order.
 
     Rows are range-sorted, the ranges are summed, and each range is then totalled on its own; order should name every row.
+    If rows, the number of rows, is given and one task may hold them, they are summed there.
     """
+    if rows is not None and rows <= ONE_TASK:
+        return df.withColumns({out: F.sum(v).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) for v, out in values.items()})
     ranged = df.repartitionByRange(shuffle_width(df.sparkSession), *order).withColumn("__range", F.spark_partition_id())
     ranged = shared_table(ranged, "ranged")
     earlier = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
@@ -127,17 +132,17 @@ def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
     return lines_once(docs).join(kept.select(F.col("line").alias("__line")), "__line", "left_semi").drop("__line")
 
 
-#: A key with this share of the rows is heavy; there are at most 1 / HEAVY of them.
-HEAVY = 1 / 2000
-
-
 def split_join(rows: DataFrame, per_key: DataFrame, key: str, how: str = "inner") -> DataFrame:
     """rows joined with per_key, which has one row for each key; how is inner or left.
 
     Keys with a share HEAVY of rows, 1 / HEAVY at most, are broadcast with what per_key says of them, so that their rows
-    stay where they lie. Both frames must give the same rows whenever they are read.
+    stay where they lie. Both frames must give the same rows whenever they are read. So few rows that one task may hold
+    them all need no split.
     """
-    least = max(64, HEAVY * rows.count())
+    n = rows.count()
+    if n <= ONE_TASK:
+        return rows.join(per_key, key, how)
+    least = max(64, HEAVY * n)
     heavy = rows.groupBy(key).count().where((F.col("count") >= least) & F.col(key).isNotNull()).select(key)
     heavy = shared_table(heavy.join(per_key.withColumn("__known", F.lit(True)), key, "left"), "heavy")
     if heavy.isEmpty():
@@ -157,12 +162,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
     links = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     links = shared_table(links, "links")
     while True:
+        few = 2 * links.count() <= ONE_TASK
+        held = (lambda df, label: df) if few else shared_table  # a split reads its frames more than once
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = shared_table(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
-        large = split_join(both.where("b > a"), least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = shared_table(large.union(least.where("m < a").select("a", F.col("m").alias("b"))).distinct(), "large")
+        least = held(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
+        join = (lambda rows, per_key: rows.join(per_key, "a")) if few else (lambda rows, per_key: split_join(rows, per_key, "a"))
+        large = join(both.where("b > a"), least).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = held(large.union(least.where("m < a").select("a", F.col("m").alias("b"))).distinct(), "large")
         lower = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = split_join(large, lower, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = join(large, lower).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         links = shared_table(small.union(lower.select("a", F.col("m").alias("b"))).distinct(), "links")
         inner = links.select(F.col("b").alias("a")).join(links.select("a"), "a", "left_semi")
         repeated = links.groupBy("a").count().where("count > 1")

@@ -188,6 +188,7 @@ def _accepted(batches: Iterator[pa.RecordBatch], at: int, model) -> Iterator[pa.
     for batch in batches:
         plain = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), batch.column(at)], ["doc_id", "text"])
         yield batch.filter(next(_score(iter([plain]), model)).column(5))
+        pa.default_memory_pool().release_unused()
 
 
 SCORED = "doc_id long, lang_pred string, score double, n_scored long, nats double, accepted boolean"

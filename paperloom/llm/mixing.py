@@ -22,14 +22,15 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     Sources by code point, null last, take the weights in turn. A target is the weight times a common
     level, but at most passes times the source's size; the level is where the targets sum to the budget,
     the greatest of (budget - sizes capped so far) / (weights left) with sources in order of cap over weight.
-    Both orders are range sorts, so the sources of a corpus need not fit one task.
+    Where there are too many sources for one task, both orders are range sorts.
     """
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
+    per = shared_table(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), "sources")
+    n = per.count()
     per = per.withColumn("none", F.col("source").isNull()).withColumn("one", F.lit(1).cast("long"))
-    per = ordered_totals(per, ["none", "source"], {"one": "nth"})
+    per = ordered_totals(per, ["none", "source"], {"one": "nth"}, n)
     per = per.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), ((F.col("nth") - 1) % len(weights) + 1).cast("int")).cast("long"))
     per = per.withColumn("cap", F.col("source_size") * passes).withColumn("full_at", F.col("cap") / F.col("weight"))
-    per = ordered_totals(per, ["full_at", "none", "source"], {"cap": "caps", "weight": "heavier"})
+    per = ordered_totals(per, ["full_at", "none", "source"], {"cap": "caps", "weight": "heavier"}, n)
     words, weight = per.agg(F.sum("source_size"), F.sum("weight")).first()
     budget = (words or 0) * float(share)
     left = weight - (F.col("heavier") - F.col("weight")) if weight else F.lit(1)

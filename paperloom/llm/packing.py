@@ -94,6 +94,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], length: int, path: str | None) ->
                 rows += [(doc_id, s, len(x), len(ids), x.tobytes()) for s in range(0, len(ids), length) for x in (ids[s : s + length],)]
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+        pa.default_memory_pool().release_unused()
 
 
 def token_pieces(docs: DataFrame, length: int = LENGTH, path: str | None = None) -> DataFrame:

@@ -300,7 +300,7 @@ def test_pipeline_stages_on_odd_rows(spark):
     assert again[0] == again[1]
     labels = {(r.doc_id, r.fingerprint): r.component_id for r in simhash_dedup.near_duplicates(docs).collect()}
     near = simhash_dedup.one_of_each(docs).collect()
-    assert len(near) == len({(c, f if c is None else "") for (_, f), c in labels.items()})
+    assert len(near) == len({f for _, f in labels})  # no two texts are near here
     assert len({r.text or "" for r in near}) == len(near)
     mixed = mixing.mixed_documents(docs).collect()
     copies = {}
