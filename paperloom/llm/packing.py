@@ -17,6 +17,7 @@ import re
 from collections.abc import Iterator
 from functools import cache, partial
 from itertools import chain
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from paperloom.llm._shared import documents, running_total, shared_table, shuffl
 
 LENGTH, END, MARK, VOCABULARY = 1024, 0, "<|endoftext|>", "byte_bpe_50k.json"
 #: Chunks of at most so many characters are remembered, and so many of them.
-SHORT, MOST = 40, 100_000
+SHORT, MOST = 40, 80_000
 CHUNK = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
 #: Other white space, or what may count as such: texts with it are not cut.
 RARE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028-\u202f\u205f\u3000\ufeff]")
@@ -84,23 +85,25 @@ def encoder(path: str | None = None) -> Encoder:
     return Encoder(path)
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], length: int, path: str | None) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "start", "length", "doc_tokens", "ids"]
+def _pieces(batches: Iterator[pa.RecordBatch], length: int, path: str | None, checked: bool) -> Iterator[pa.RecordBatch]:
+    names = ["doc_id", "start", "length", "doc_tokens", "ids_crc32" if checked else "ids"]
     for batch in batches:
-        for at in range(0, batch.num_rows, 128):
-            part, rows = batch.slice(at, 128), []
+        for at in range(0, batch.num_rows, 32):
+            part, rows = batch.slice(at, 32), []
             texts = [t or "" for t in part.column(1).to_pylist()]
-            for doc_id, ids in zip(part.column(0).to_pylist(), encoder(path).ids(texts)):
-                rows += [(doc_id, s, len(x), len(ids), x.tobytes()) for s in range(0, len(ids), length) for x in (ids[s : s + length],)]
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+            # the encoder comes first: it puts its memory in order after the last text
+            for ids, doc_id in zip(encoder(path).ids(texts), part.column(0).to_pylist()):
+                rows += [(doc_id, s, len(x), len(ids), crc32(x) if checked else x.tobytes()) for s in range(0, len(ids), length) for x in (ids[s : s + length],)]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64() if checked else pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
         pa.default_memory_pool().release_unused()
 
 
-def token_pieces(docs: DataFrame, length: int = LENGTH, path: str | None = None) -> DataFrame:
-    """doc_id, start, length, doc_tokens and ids (little-endian 32-bit words) of every piece of every document."""
+def token_pieces(docs: DataFrame, length: int = LENGTH, path: str | None = None, checked: bool = False) -> DataFrame:
+    """doc_id, start, length, doc_tokens and ids (little-endian 32-bit words) of every piece of every document; ids_crc32 for ids if checked."""
     plain = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return plain.mapInArrow(partial(_pieces, length=length, path=path), "doc_id long, start long, length long, doc_tokens long, ids binary")
+    last = "ids_crc32 long" if checked else "ids binary"
+    return plain.mapInArrow(partial(_pieces, length=length, path=path, checked=checked), f"doc_id long, start long, length long, doc_tokens long, {last}")
 
 
 def plan_packs(histogram: dict[int, int], length: int = LENGTH) -> list[tuple[int, int, int, int, int, int]]:
@@ -162,7 +165,7 @@ def pack_documents(docs: DataFrame, length: int = LENGTH, path: str | None = Non
     A null or empty text is the end id alone. Long texts are cut at every length tokens; repeated rows and
     null doc_ids are documents like any other. No rows give no rows; other columns of docs are not read.
     """
-    pieces = token_pieces(docs, length, path).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
+    pieces = token_pieces(docs, length, path, checked=True).select("doc_id", "start", "length", "ids_crc32", "doc_tokens")
     return pack_pieces(shared_table(pieces, "pieces"), length)
 
 
