@@ -122,13 +122,7 @@ def parsed_dates(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", R.date_of(text).alias("date"))
 
 
-PACK = f"""WITH RECURSIVE {PAGES}, ls AS (SELECT page, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM pages_),
-w AS (SELECT page, l, 1 AS i, 0 AS part, length(l[1]) AS cur FROM ls WHERE len(l) > 0
-UNION ALL SELECT page, l, i + 1, CASE WHEN cur + 1 + length(l[i + 1]) + 1 > 3000 THEN part + 1 ELSE part END, CASE WHEN cur + 1 + length(l[i + 1]) + 1 > 3000 THEN length(l[i + 1]) ELSE cur + 1 + length(l[i + 1]) END FROM w WHERE i < len(l))
-SELECT page, part, count(*) AS lines, sum(length(l[i]) + 1)::BIGINT - 1 AS chars FROM w GROUP BY 1, 2"""
-
-
-@query(PACK)
+@query()
 def packed_paragraphs(spark, sf):
     rows = Q.packed(page_rows(spark, sf))
     return rows.select("page", "part", F.size(F.split("text", "\n")).cast("long").alias("lines"), F.length("text").cast("long").alias("chars"))
