@@ -59,10 +59,21 @@ def reminders(tenders: DataFrame, tasks: DataFrame, todo: DataFrame, today: str)
 def approvals(rows: DataFrame) -> DataFrame:
     """position of rows (id, decided_at, deadline): waiting ones by deadline, those without one last, then decided ones newest first.
 
-    Positions are numbered within waiting and decided apart, so that neither list is sorted with the other.
+    Positions are numbered within waiting and decided apart. Rows are counted per day and 1,000 ranges of ids, only the
+    counts are ordered as a whole, and rows are numbered within their day and range.
     """
-    order = Window.partitionBy("waiting").orderBy(F.when(F.col("waiting"), F.col("deadline")).asc_nulls_last(), F.when(~F.col("waiting"), F.col("decided_at")).desc_nulls_last(), "id")
-    return rows.withColumn("waiting", F.col("decided_at").isNull()).withColumn("position", F.row_number().over(order)).select("id", "waiting", "position")
+    rows = rows.withColumn("waiting", F.col("decided_at").isNull())
+    day = F.when(F.col("waiting"), F.datediff("deadline", F.lit("1970-01-01").cast("date"))).otherwise(-F.datediff("decided_at", F.lit("1970-01-01").cast("date")))
+    at = F.coalesce(day, F.lit(2**31 - 1))
+    lo, hi = rows.agg(F.min("id"), F.max("id")).first()
+    part = F.floor((F.col("id") - F.lit(lo)) / F.lit(max((hi or 0) - (lo or 0), 1)) * 999)
+    rows = rows.select("id", "waiting", at.alias("at"), F.coalesce(part, F.lit(-1)).cast("int").alias("part"))
+    counts = rows.groupBy("waiting", "at", "part").agg(F.count(F.lit(1)).alias("c"))
+    days = counts.groupBy("waiting", "at").agg(F.sum("c").alias("d"))
+    days = days.select("waiting", "at", (F.sum("d").over(Window.partitionBy("waiting").orderBy("at")) - F.col("d")).alias("earlier"))
+    starts = counts.join(days, ["waiting", "at"]).select("waiting", "at", "part", (F.col("earlier") + F.sum("c").over(Window.partitionBy("waiting", "at").orderBy("part")) - F.col("c")).alias("start"))
+    nth = F.row_number().over(Window.partitionBy("waiting", "at", "part").orderBy("id"))
+    return rows.withColumn("nth", nth).join(starts, ["waiting", "at", "part"]).select("id", "waiting", (F.col("start") + F.col("nth")).alias("position"))
 
 
 def roman(text: Column) -> Column:

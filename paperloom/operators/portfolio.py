@@ -49,11 +49,24 @@ def within_limit(events: DataFrame, key: str, seconds: int, most: int) -> DataFr
 
 
 def index_percentile(rows: DataFrame, keys: list[str], value: str, *shares: float) -> DataFrame:
-    """For each share p the value at index floor(p n) of the sorted values of a group."""
-    group = Window.partitionBy(*keys)
-    ranked = rows.select(*keys, value, (F.row_number().over(group.orderBy(value)) - 1).alias("at"), F.count(F.lit(1)).over(group).alias("n"))
-    pick = lambda p: F.max(F.when(F.col("at") == F.least(F.floor(F.col("n") * p), F.col("n") - 1), F.col(value)))
-    return ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[pick(p).alias(f"p{round(100 * p)}") for p in shares])
+    """For each share p the value at index floor(p n) of the sorted values of a group; rows without a value come first.
+
+    Equal values are counted first, and only running sums of the counts are ordered: those of 1,000 value ranges of a
+    group, and within a range its own distinct values, so that no group is sorted in one task.
+    """
+    counts = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("c"))
+    bounds = rows.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.count(F.lit(1)).alias("n"))
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    place = F.when(F.col(value).isNull(), -1).when(F.col("hi") > F.col("lo"), F.floor((F.col(value) - F.col("lo")) / (F.col("hi") - F.col("lo")) * 999)).otherwise(0)
+    counts = counts.join(bounds, same).withColumn("bin", place.cast("int")).drop(*[f"__{k}" for k in keys])
+    bins = counts.groupBy(*keys, "bin").agg(F.sum("c").alias("b"))
+    before = F.sum("b").over(Window.partitionBy(*keys).orderBy("bin")) - F.col("b")
+    bins = bins.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("bin").alias("__bin"), before.alias("start"))
+    inner = Window.partitionBy(*keys, "bin").orderBy(F.col(value).asc_nulls_first())
+    ranked = counts.join(bins, [*same, F.col("bin") == F.col("__bin")]).withColumn("end", F.col("start") + F.sum("c").over(inner))
+    index = lambda p: F.least(F.floor(F.col("n") * p), F.col("n") - 1)
+    held = lambda p: (index(p) >= F.col("end") - F.col("c")) & (index(p) < F.col("end"))
+    return ranked.groupBy(*keys).agg(F.max("n").alias("n"), *[F.max(F.when(held(p), F.col(value))).alias(f"p{round(100 * p)}") for p in shares])
 
 
 def scores_of_sets(predicted: DataFrame, gold: DataFrame, key: str) -> DataFrame:
