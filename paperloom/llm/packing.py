@@ -7,7 +7,7 @@ count, so the work does not grow with the number of documents. The resulting pla
 the pieces by length and rank.
 
 Ids are those that tokenizers gives for the byte_bpe_50k vocabulary. No token of it runs from a word over the white
-space after it, so a text's ids are those of its chunks, white space with the word behind it, one after the other.
+space or the sign after it, so a text's ids are those of its chunks, white space with the word behind it and signs, one after the other.
 Chunks are given to tokenizers once and remembered; a test holds the ids against those of whole texts.
 """
 
@@ -29,7 +29,8 @@ from paperloom.llm._shared import documents, running_total, shared_table, shuffl
 LENGTH, END, MARK, VOCABULARY = 1024, 0, "<|endoftext|>", "byte_bpe_50k.json"
 #: Chunks of at most so many characters are remembered, and so many of them.
 SHORT, MOST = 40, 80_000
-CHUNK = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
+#: White space with the letters and digits behind it up to a sign, where the vocabulary's rule always ends a word; else up to white space.
+CHUNK = re.compile(r"[ \t\n\r]*+[A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]++(?=[!-/:-@\[-`{-~])|[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
 #: Other white space, or what may count as such: texts with it are not cut.
 RARE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028-\u202f\u205f\u3000\ufeff]")
 

@@ -423,6 +423,9 @@ def test_ids_are_those_of_whole_texts():
     encoder = packing.Encoder(None)
     random.seed(5)
     texts = ["".join(random.choices([" ", " ", "\n", "\t", "a", "Bc", "é", "'s", "1", "!", "\xa0", "　", "漢", packing.MARK, "\x1c", "​"], k=25)) for _ in range(4000)]
+    signs = [" ", "\n", "ab", "É", "ß", "ÿ", "ª", "²", "½", "×", "÷", "ж", "漢", "\u0301", "7", "'", "'re", "'s", ",", "%%%", "-", "_", ".", "—", "<", "|", "~", "`", "\r", packing.MARK]
+    texts += ["".join(random.choices(signs, k=25)) for _ in range(6000)]
+    texts += ["a," * 500_000, " " * 500_000 + "a" * 500_000 + ".", ",a" * 500_000]
     texts += [" " * 1_000_000, "\n" * 1_000_000, "a" * 1_000_000, " " * 1_000_000 + "x", "", " ", "x" * 50 + " y"]
     for at in range(0, len(texts), 500):
         for ids, want in zip(encoder.ids(texts[at : at + 500]), encoder.whole(texts[at : at + 500])):
