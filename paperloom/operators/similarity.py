@@ -78,18 +78,6 @@ def leaders(rows: DataFrame, links: DataFrame) -> DataFrame:
             return state
 
 
-def tfidf_pairs(terms: DataFrame, most: int) -> DataFrame:
-    """The most similar others of each key of terms (id, term, tf) by cosine of tf times idf = ln((n + 1) / (df + 0.5))."""
-    n = terms.select("id").distinct().count()
-    idf = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select("term", F.log((F.lit(n) + 1) / (F.col("df") + 0.5)).alias("idf"))
-    weighed = terms.join(idf, "term").select("id", "term", (F.col("tf") * F.col("idf")).alias("w"))
-    norms = weighed.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    weighed = weighed.join(norms, "id").select("id", "term", (F.col("w") / F.col("norm")).alias("w"))
-    pairs = weighed.alias("x").join(weighed.alias("y"), "term").where("x.id <> y.id").groupBy(F.col("x.id").alias("id"), F.col("y.id").alias("other")).agg(F.bround(F.sum(F.col("x.w") * F.col("y.w")), 6).alias("cosine"))
-    order = Window.partitionBy("id").orderBy(F.col("cosine").desc(), "other")
-    return pairs.withColumn("position", F.row_number().over(order)).where(F.col("position") <= most)
-
-
 def top_passages(questions: DataFrame, passages: DataFrame, most: int = 2) -> DataFrame:
     """For each question (q, tokens) the passages (p, tokens) that hold most of its tokens: share, position."""
     left = questions.select("q", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
