@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import text as T
 from paperloom.operators import cosine
+from paperloom.operators import headings as H
+from paperloom.plans.texts import PAGES, page_rows
 from paperloom.sources.tables import table
 
 QUERIES: dict = {}
@@ -45,3 +47,60 @@ def best_evidence(spark, sf):
     supports = F.when((F.col("line") == 0) & (F.col("doc_id") % 3 == 0), F.col("doc_id") % 60)
     facts = lines.select((F.col("doc_id") * 100000 + F.col("line")).alias("id"), "text", supports.alias("supports"), status.alias("status"))
     return cosine.best_evidence(table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), "text"), facts).withColumns({c: F.col(c).cast("string") for c in ("evidence", "candidate")})
+
+
+# ---- references: pages open with one of these by doc_id, and close with the clause that page_rows gives them
+
+HEADS = (
+    "APPENDIX 7\nTechnical Schedules\n", "ANNEX A General\nANNEX B-2\nNOT APPLICABLE\nANNEX D Drawings\n", "All works in accordance with\nFORM 3 of the bid\n", "a | b | c | d\nAPPENDIX VIII TO MAIN SCOPE\n",
+    "ANNEXURE\nC\nTemplate Administration\n", "Exhibit Q-1, as signed, and a form V. See form 4, Form 11 and\nAPPENDIX - IX\n", "", "FORM 2A.\n",
+)
+
+
+def _sql_text(held: tuple[str, ...]) -> str:
+    return "[" + ", ".join("'" + h.replace("'", "''") + "'" for h in held) + "]"
+
+
+_plain = "replace(replace(replace(replace({}, '\u0002', ' '), '\u0001', ''), '\u0003', ''), '\u0004', '')".format
+_token, _strip = H.TOKEN, r"regexp_replace({}, '^\s+|\s+$', '', 'g')".format
+_key = lambda w, i: f"concat(regexp_replace(upper({w}), '^ANNEXURE$', 'ANNEX'), ' ', {i})"
+_mark = (r"regexp_replace(regexp_replace(regexp_replace({}, '" + H.BROKEN.replace("{", "{{").replace("}", "}}") + "', '\u0001\\1\u0002\\2\u0003\u0004\\3', 'g'), '" + H.WHOLE.replace("{", "{{").replace("}", "}}") + "', '\u0001\\1\u0002\\2\u0003\\3', 'g'), '\u0001(form|exhibit)\u0002([^\u0003]*)\u0003\u0004?', '\\1 \\2', 'g')").format
+_stop = lambda words: "('" + "', '".join(words) + "')"
+REFERENCES = PAGES.replace("AS text FROM documents", "AS text, doc_id FROM documents") + f""",
+mk AS (SELECT document, page, {_mark("coalesce(" + _sql_text(HEADS) + "[(doc_id % 8 + 1)::INT] || text, '')")} AS m FROM pages_),
+mt AS (SELECT document, page, unnest(list_transform(regexp_extract_all(m, '{_token}'), lambda t: {_key(f"regexp_extract(t, '{_token}', 1)", f"regexp_extract(t, '{_token}', 2)")})) AS reference, generate_subscripts(regexp_extract_all(m, '{_token}'), 1) - 1 AS place FROM mk),
+un AS (SELECT document, page, list_filter(list_transform(regexp_split_to_array(m, '[\n|]'), lambda u: {_strip("u")}), lambda u: u <> '') AS units FROM mk),
+ld AS (SELECT *, coalesce(list_sum(list_transform(units[1:i - 1], lambda u: 1 + length(u) - length(replace(u, '\u0004', '')))), 0) AS n_before, {_plain("coalesce(units[i - 1], '')")} AS above, coalesce(units[i + 1], '') AS u1, coalesce(units[i + 2], '') AS u2,
+  {_key(f"regexp_extract(units[i], '^{_token}', 1)", f"regexp_extract(units[i], '^{_token}', 2)")} AS reference, {_plain(_strip(f"regexp_replace(units[i], '^{_token}' || '\u0004?', '')"))} AS rest
+  FROM (SELECT *, unnest(range(1, len(units) + 1)) AS i FROM un) WHERE starts_with(units[i], '\u0001')),
+tl AS (SELECT *, CASE WHEN starts_with(rest, '.') THEN {_strip("substr(rest, 2)")} ELSE rest END AS tail, {_plain("u1")} AS below, {_plain("u2")} AS second,
+  list_filter([rest, CASE WHEN starts_with(u1, '\u0001') THEN '' ELSE {_plain("u1")} END, CASE WHEN starts_with(u1, '\u0001') OR starts_with(u2, '\u0001') THEN '' ELSE {_plain("u2")} END], lambda x: x <> '') AS entry FROM ld),
+mn AS (SELECT *, CASE WHEN tail = '' THEN below ELSE tail END AS main, regexp_replace(tail, '^(?:{H.DASH}|[:. \t])+', '') AS bare FROM tl),
+tg AS (SELECT *, lower(regexp_extract(coalesce(CASE WHEN main = 'TO' THEN CASE WHEN tail = '' THEN second ELSE below END WHEN starts_with(main, 'TO ') THEN substr(main, 4) END, ''), '^\\s*(\\S+)', 1)) AS target FROM mn),
+hd AS (SELECT document, page, reference, n_before, coalesce(lower(regexp_extract_all(above, '[A-Za-z&]+')[-1]) NOT IN {_stop(H.RUNS_ON)}, true) AND NOT (regexp_matches(rest, '^[,;]') OR rest IN ('.', ')'))
+  AND CASE WHEN tail = '' THEN NOT regexp_matches(below, '^\\p{{Ll}}') ELSE regexp_matches(bare, '^[\\p{{Lu}}\\p{{Nd}}(]') AND NOT list_has_any(regexp_extract_all(bare, '[a-z]+'), {_stop(H.STOP).replace("(", "[").replace(")", "]")}) END
+  AND (n_before < 3 OR target <> '' AND target NOT IN {_stop(H.STOP)}) AS own,
+  regexp_matches(coalesce(entry[1], ''), '{H.NOT_APPLICABLE}') OR len(list_filter(entry[1:2], lambda u: regexp_matches(u, '{H.ONLY_NOT_APPLICABLE}'))) > 0 AS absent FROM tg),
+ls AS (SELECT document, page, count(DISTINCT reference) >= 3 OR count(DISTINCT reference) FILTER (n_before < 15) >= 2 AS listing FROM hd GROUP BY 1, 2),
+oh AS (SELECT document, page, reference, NOT listing AND own AS own_heading, listing AND absent AS not_applicable FROM hd JOIN ls USING (document, page))"""
+
+
+def referring_pages(spark, sf):
+    pages = page_rows(spark, sf)
+    head = F.element_at(F.array(*map(F.lit, HEADS)), (F.col("page") % 8 + 1).cast("int"))
+    return pages.withColumn("text", F.concat(head, "text"))
+
+
+@query(f"WITH {REFERENCES} SELECT * FROM oh")
+def own_headings(spark, sf):
+    return H.headings(referring_pages(spark, sf))
+
+
+# files of the package are named after some forms
+@query(f"""WITH {REFERENCES}, fl AS (SELECT unnest(regexp_extract_all({_mark("upper(replace('bid_form_' || n_nationkey || '.pdf', '_', ' '))")}, '{_token}')) AS t FROM nation WHERE n_nationkey % 8 = 3),
+pr AS (SELECT {_key(f"regexp_extract(t, '{_token}', 1)", f"regexp_extract(t, '{_token}', 2)")} AS reference FROM fl UNION SELECT reference FROM oh WHERE own_heading OR not_applicable),
+ms AS (SELECT *, row_number() OVER (PARTITION BY reference ORDER BY document, page, place) AS nth FROM mt WHERE reference NOT IN (SELECT reference FROM pr))
+SELECT reference, count(*) AS mentions, string_agg(concat(document, '#p', page), ', ' ORDER BY nth) FILTER (nth <= 3) AS evidence FROM ms GROUP BY 1""")
+def absent_documents(spark, sf):
+    files = table(spark, sf, "nation").where("n_nationkey % 8 = 3").select(F.concat(F.lit("bid_form_"), "n_nationkey", F.lit(".pdf")).alias("filename"))
+    return H.absent_documents(referring_pages(spark, sf), files)
