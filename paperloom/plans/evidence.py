@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as T
-from paperloom.operators import cosine
+from paperloom.operators import cosine, sampling
 from paperloom.operators import headings as H
 from paperloom.plans.texts import PAGES, page_rows
 from paperloom.sources.tables import table
@@ -104,3 +104,13 @@ SELECT reference, count(*) AS mentions, string_agg(concat(document, '#p', page),
 def absent_documents(spark, sf):
     files = table(spark, sf, "nation").where("n_nationkey % 8 = 3").select(F.concat(F.lit("bid_form_"), "n_nationkey", F.lit(".pdf")).alias("filename"))
     return H.absent_documents(referring_pages(spark, sf), files)
+
+
+# ---- samples
+
+
+@query()
+def representative_chunks(spark, sf):
+    """Fifty documents are a tender, seven of them a document of it. Greedy choice has no plain SQL; a test holds it against a plain one."""
+    rows = page_rows(spark, sf).select((F.col("page") / 50).cast("long").alias("tender"), (F.col("page") / 7).cast("long").alias("document"), F.col("page").alias("position"), "page", "text")
+    return sampling.representative_chunks(rows)
