@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as T
+from paperloom.operators import bills as B
 from paperloom.operators import cosine, sampling
 from paperloom.operators import headings as H
 from paperloom.plans.texts import PAGES, page_rows
@@ -114,3 +116,42 @@ def representative_chunks(spark, sf):
     """Fifty documents are a tender, seven of them a document of it. Greedy choice has no plain SQL; a test holds it against a plain one."""
     rows = page_rows(spark, sf).select((F.col("page") / 50).cast("long").alias("tender"), (F.col("page") / 7).cast("long").alias("document"), F.col("page").alias("position"), "page", "text")
     return sampling.representative_chunks(rows)
+
+
+# ---- bills in sheets of any layout: an order is a sheet, with one of these beginnings by its key
+
+SHEET_HEADS = (
+    (("No.", "Description", "UOM", "Qty", "Unit Price (SAR)", "Total Price"),),
+    (("Bill of quantities", "", "", "", "", ""), ("Sheet 2", "", "", "", "", ""), ("البند", "الوصف", "الوحدة", "الكمية", "سعر الوحدة", "الاجمالى")),
+    (),
+    (("S.No", "Works particulars", "Remarks", "Quantity in all", "Material unit price", "Amount"),),
+)
+_heads = "[" + ", ".join("[" + ", ".join("['" + "', '".join(row) + "']" for row in rows) + "]" + ("::VARCHAR[][]" if not rows else "") for rows in SHEET_HEADS) + "]"
+_quoted = lambda words: "('" + "', '".join(words) + "')"
+_slot = "CASE " + " ".join("WHEN n IN " + _quoted(a) + "".join(f" OR contains(n, '{x}')" for x in a if " " in x) + f" THEN '{s}'" for s, a in B.ALIASES.items())
+_slot += " " + " ".join("WHEN " + " OR ".join(f"starts_with(n, '{x} ') OR ends_with(n, ' {x}')" for x in a if " " not in x) + f" THEN '{s}'" for s, a in B.ALIASES.items()) + " END"
+_last = lambda s: f"trim(coalesce(arg_max(cell, col) FILTER (key = '{s}'), ''))"
+
+
+@query(f"""WITH ln AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS nth, [l_linenumber::VARCHAR, CASE WHEN l_partkey % 5 = 0 THEN 'pos' WHEN l_partkey % 3 = 0 THEN p_name || ' كابل نحاس' ELSE p_name END, CASE WHEN l_partkey % 4 = 0 THEN 'see drawing number ' || l_suppkey ELSE 'pcs' END, l_quantity::INT::VARCHAR, l_suppkey::VARCHAR, ''] AS cells FROM lineitem JOIN part ON p_partkey = l_partkey),
+rw AS (SELECT l_orderkey AS sheet, nth + len({_heads}[(l_orderkey % 4 + 1)::INT]) AS row, cells FROM ln UNION ALL SELECT l_orderkey, unnest(range(1, len({_heads}[(l_orderkey % 4 + 1)::INT]) + 1)), unnest({_heads}[(l_orderkey % 4 + 1)::INT]) FROM (SELECT DISTINCT l_orderkey FROM lineitem)),
+ce AS (SELECT sheet, row, unnest(cells) AS cell, generate_subscripts(cells, 1) AS col FROM rw),
+sl AS (SELECT *, {_slot} AS slot FROM (SELECT *, trim(regexp_replace(lower(cell), '\\s+', ' ', 'g')) AS n FROM ce WHERE row <= {B.HEADER_ROWS})),
+hr AS (SELECT sheet, min(row) AS head FROM (SELECT sheet, row FROM sl GROUP BY 1, 2 HAVING count(DISTINCT slot) >= 2 AND bool_or(slot = 'description')) GROUP BY 1),
+ky AS (SELECT sheet, col, coalesce(slot, chr(1) || cell) AS key FROM sl JOIN hr USING (sheet) WHERE row = head),
+kc AS (SELECT ce.*, key, key IS NULL OR col = max(col) OVER (PARTITION BY sheet, row, key) AS alive FROM ce JOIN hr USING (sheet) LEFT JOIN ky USING (sheet, col) WHERE row > head),
+it AS (SELECT sheet, row, {", ".join(f"{_last(s)} AS {s}" for s in B.ALIASES)}, arg_max(trim(cell), (length(trim(cell)), -col)) FILTER (alive AND length(trim(cell)) >= {B.LONG}) AS long FROM kc GROUP BY 1, 2),
+ds AS (SELECT * REPLACE (CASE WHEN length(description) < {B.SHORT} THEN coalesce(long, description) ELSE description END AS description) FROM it)
+SELECT concat('order ', sheet % 7) AS document, concat('S', sheet, '!R', row) AS location, nullif(item, '') AS item, description, nullif(trim(regexp_replace(regexp_replace(description, '{B.ARABIC}', ' ', 'g'), '\\s+', ' ', 'g')), '') AS description_en, nullif(array_to_string(regexp_extract_all(description, '{B.ARABIC}'), ' '), '') AS description_ar, nullif(unit, '') AS unit, nullif(quantity, '') AS quantity, nullif(unit_price, '') AS unit_price, nullif(total_price, '') AS total_price FROM ds WHERE length(description) >= {B.LEAST}""")
+def bill_items(spark, sf):
+    lines = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("p_partkey") == F.col("l_partkey"))
+    part = F.col("l_partkey")
+    name = F.when(part % 5 == 0, "pos").when(part % 3 == 0, F.concat("p_name", F.lit(" كابل نحاس"))).otherwise(F.col("p_name"))
+    unit = F.when(part % 4 == 0, F.concat(F.lit("see drawing number "), "l_suppkey")).otherwise("pcs")
+    cells = F.array(F.col("l_linenumber").cast("string"), name, unit, F.col("l_quantity").cast("int").cast("string"), F.col("l_suppkey").cast("string"), F.lit(""))
+    heads = F.get(F.array(*[F.array(*[F.array(*map(F.lit, row)) for row in rows]) if rows else F.array().cast("array<array<string>>") for rows in SHEET_HEADS]), (F.col("sheet") % 4).cast("int"))
+    nth = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"))
+    body = lines.select(F.col("l_orderkey").alias("sheet"), nth.alias("nth"), cells.alias("cells")).select("sheet", (F.col("nth") + F.size(heads)).alias("row"), "cells")
+    above = body.select("sheet").distinct().select("sheet", F.posexplode(heads).alias("row", "cells")).select("sheet", (F.col("row") + 1).alias("row"), "cells")
+    rows = body.unionByName(above)
+    return B.line_items(rows.select(F.concat(F.lit("order "), F.col("sheet") % 7).alias("document"), F.concat(F.lit("S"), "sheet").alias("sheet"), "row", "cells"))
