@@ -9,6 +9,7 @@ from paperloom.functions import text as T
 from paperloom.operators import bills as B
 from paperloom.operators import cosine, sampling
 from paperloom.operators import headings as H
+from paperloom.operators import owners as O
 from paperloom.plans.texts import PAGES, page_rows
 from paperloom.sources.tables import table
 
@@ -155,3 +156,41 @@ def bill_items(spark, sf):
     above = body.select("sheet").distinct().select("sheet", F.posexplode(heads).alias("row", "cells")).select("sheet", (F.col("row") + 1).alias("row"), "cells")
     rows = body.unionByName(above)
     return B.line_items(rows.select(F.concat(F.lit("order "), F.col("sheet") % 7).alias("document"), F.concat(F.lit("S"), "sheet").alias("sheet"), "row", "cells"))
+
+
+# ---- countries and clients: twenty documents are a tender, each opens with one of these by its id
+
+MENTIONS = (
+    "Supply to the Kingdom of Saudi Arabia. ", "Tender of Egyptian Electricity Transmission, Cairo. ", "A roman road; Abu Dhabi and DEWA. ", "", "Owner: The Water Board. ", "في السعودية ومصر، قطر ",
+    "Ma'aden and KAHRAMAA, Doha. ", "", "NEOM, neom and Aramco. ", "Muscat, Oman. Issued by SEC ", "",
+)
+_mentions = _sql_text(MENTIONS)
+_named = " UNION ALL ".join(f"SELECT '{k.replace(chr(39), chr(39) * 2)}' AS gram, {len(O.parts_of(k))} AS len, '{c}' AS country, {i} AS listed" for i, (c, keys) in enumerate(O.COUNTRIES.items()) for k in keys)
+_counts = " UNION ALL ".join(f"SELECT tender, place, document, page, '{c.replace(chr(39), chr(39) * 2)}' AS client, {i} AS listed, " + " + ".join(f"(length(low) - length(replace(low, '{k.replace(chr(39), chr(39) * 2)}', ''))) // {len(k)}" for k in keys) + " AS n FROM lw" for i, (c, keys) in enumerate(O.CLIENTS.items()))
+OWNED = f"ow AS (SELECT doc_id // 20 // 2 * 2 + (doc_id % 3 = 0)::INT AS tender, doc_id AS place, CASE WHEN doc_id % 20 = 0 THEN 5 ELSE 1 END AS weight, source AS document, doc_id AS page, {_mentions}[(doc_id % 11 + 1)::INT] || text AS text FROM documents WHERE doc_id IS NOT NULL)"
+
+
+def owned_pages(spark, sf):
+    mention = F.element_at(F.array(*map(F.lit, MENTIONS)), (F.col("doc_id") % 11 + 1).cast("int"))
+    tender = F.floor(F.col("doc_id") / 20)
+    tender = tender - tender % 2 + (F.col("doc_id") % 3 == 0).cast("int")
+    weight = F.when(F.col("doc_id") % 20 == 0, 5).otherwise(1)
+    return table(spark, sf, "documents").select(tender.alias("tender"), F.col("doc_id").alias("place"), weight.alias("weight"), F.col("source").alias("document"), F.col("doc_id").alias("page"), F.concat(mention, "text").alias("text"))
+
+
+@query(f"""WITH {OWNED}, nm AS ({_named}), pt AS (SELECT tender, place, weight, regexp_extract_all(lower(coalesce(text, '')), '{O.PART}') AS parts FROM ow),
+wd AS (SELECT tender, place, weight, parts, unnest(range(1, len(parts) + 1)) AS i FROM pt),
+ft AS (SELECT wd.*, nm.* FROM wd JOIN nm ON parts[i] = regexp_extract(gram, '{O.PART}')),
+ct AS (SELECT tender, country, listed, sum(weight)::BIGINT AS mentions, min(place) AS first FROM ft WHERE array_to_string(parts[i:i + len - 1], '') = gram GROUP BY 1, 2, 3)
+SELECT tender, country, mentions FROM (SELECT *, row_number() OVER (PARTITION BY tender ORDER BY mentions DESC, first, listed) AS nth FROM ct) WHERE nth = 1""")
+def tender_countries(spark, sf):
+    return O.countries(owned_pages(spark, sf))
+
+
+@query(f"""WITH {OWNED}, lw AS (SELECT *, concat(' ', lower(coalesce(text, '')), ' ') AS low FROM ow),
+cl AS (SELECT tender, client, listed, sum(n)::BIGINT AS mentions, min(place) AS first, (min({{'p': place, 'd': document, 'g': page}})).d AS document, (min({{'p': place, 'd': document, 'g': page}})).g AS page FROM ({_counts}) WHERE n > 0 GROUP BY 1, 2, 3),
+bs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tender ORDER BY mentions DESC, first, listed) AS nth FROM cl) WHERE nth = 1),
+lb AS (SELECT tender, min({{'p': place, 'c': regexp_replace(regexp_extract(text, '{O.CLIENT_LINE.replace("'", "''")}', 1), '^[ .,-]+|[ .,-]+$', '', 'g'), 'd': document, 'g': page}}) AS f FROM ow WHERE regexp_matches(text, '{O.CLIENT_LINE.replace("'", "''")}') AND tender NOT IN (SELECT tender FROM bs) GROUP BY 1)
+SELECT tender, client, mentions, document, page FROM bs UNION ALL SELECT tender, f.c, 0, f.d, f.g FROM lb""")
+def tender_clients(spark, sf):
+    return O.clients(owned_pages(spark, sf)).withColumn("mentions", F.coalesce("mentions", F.lit(0)))
