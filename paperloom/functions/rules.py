@@ -75,7 +75,33 @@ SYNONYMS = (
     (r"advance payment", ("advance payment", "down payment")),
     (r"retention", ("retention", "retained")),
 )
-QUESTION_WORDS = ("what", "which", "when", "where", "the", "and", "for", "are", "does", "this", "that", "with", "how", "who")
+ARABIC_TERMS = (
+    ("ضمان ابتدائي|الضمان الابتدائي|خطاب ضمان ابتدائي|تأمين ابتدائي|التأمين الابتدائي", ("bid bond", "bid security", "tender bond")),
+    ("ضمان نهائي|الضمان النهائي|تأمين نهائي|التأمين النهائي|ضمان حسن التنفيذ", ("performance bond", "performance security")),
+    ("دفعة مقدمة|الدفعة المقدمة|دفعه مقدمه", ("advance payment",)),
+    ("غرامة تأخير|غرامات التأخير|غرامة التأخير", ("liquidated damages", "delay penalty")),
+    ("صلاحية العرض|صلاحية العطاء|مدة سريان", ("validity", "remain valid")),
+    ("فترة الضمان|مدة الضمان", ("warranty period", "defects liability")),
+    ("محتجزات|المحتجزات|نسبة الاستقطاع", ("retention",)),
+    ("شروط الدفع|طريقة الدفع|الدفعات|السداد", ("payment terms", "payment")),
+    ("آخر موعد|اخر موعد|ميعاد التقديم|موعد التقديم", ("submission", "closing date", "deadline")),
+    ("زيارة الموقع", ("site visit",)),
+    ("مدة التنفيذ|مدة المشروع", ("completion period", "duration", "time for completion")),
+    ("غرامة|غرامات", ("penalty", "penalties")),
+    ("خبرة|سنوات الخبرة", ("experience", "years")),
+    ("شهادة|شهادات", ("certificate", "certified")),
+    ("تأمين|التأمين", ("insurance",)),
+    ("عملة|العملة", ("currency",)),
+    ("محول|محولات", ("transformer",)),
+    ("كابل|كابلات", ("cable",)),
+    ("مقاول من الباطن|مقاولين من الباطن", ("subcontract",)),
+    ("إنهاء العقد|فسخ العقد", ("termination",)),
+    ("قوة قاهرة", ("force majeure",)),
+)
+QUESTION_WORDS = tuple(
+    "what which does the this that tender with have for are how about is was our there any from and can".split()
+    + "المناقصة مناقصة المناقصات اسم ايه إيه هل في من على ما ماهو ماهي هو هي إلى الى عن كام امتى فين ازاي إزاي دي ده اللي عايز".split()
+)
 # Voltages and ratings.
 VOLTAGE, RATING = r"(?i)(\d{2,3}\s*kV)", r"(?i)(\d+\s*MVA)"
 DATE_FORMATS = ("yyyy-MM-dd", "dd.MM.yyyy", "dd/MM/yyyy", "dd-MM-yyyy", "d MMMM yyyy", "d MMM yyyy", "MMMM d, yyyy", "MMM d, yyyy")

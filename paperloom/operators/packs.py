@@ -176,12 +176,31 @@ def date_of(text: Column) -> Column:
     return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)).cast("date") for f in ("d/M/yyyy", "d-M-yyyy", "d.M.yyyy", "yyyy-M-d", "d MMMM yyyy", "d MMM yyyy")])
 
 
+# Classes of documents in order, with what a file name, its end or the beginning of the first page holds.
+DOCUMENT_CLASSES = (
+    ("BOQ", ("price", "schedule", "boq", "bill of quantities"), (), ()),
+    ("TECHNICAL", ("technical", "specification", "specs"), (), ("gis", "transformer", "voltage")),
+    ("COMMERCIAL", ("commercial", "financial"), (), ()),
+    ("LEGAL", ("consortium", "agreement"), (), ()),
+    ("CLARIFICATION", ("clarification",), (), ()),
+    ("ADDENDUM", ("addendum",), (), ()),
+    ("DRAWING", ("drawing",), (".dwg", ".jpg"), ()),
+    ("SCHEDULE", (), (), ("schedule", "programme")),
+)
+SAMPLE = 500
+
+
 def document_class(name: Column, sample: Column) -> Column:
-    """Class of a document by its file name, else by its first page."""
-    low, page = F.lower(name), F.lower(sample)
-    by = lambda text, p: text.rlike(p)
-    rules = (("bill", r"boq|bill of quantities|price schedule"), ("form", r"form|annex"), ("specification", r"spec|tmss|technical"), ("commercial", r"commercial|terms|payment|bond"), ("schedule", r"schedule|programme|delivery"))
-    return F.coalesce(*[F.when(by(low, p), F.lit(n)) for n, p in rules], *[F.when(by(page, p), F.lit(n)) for n, p in rules], F.lit("other"))
+    """Class of a document by its file name and the beginning of its first page, the first that fits; OTHER if none does."""
+    low, page = F.lower(F.coalesce(name, F.lit(""))), F.lower(F.substring(F.coalesce(sample, F.lit("")), 1, SAMPLE))
+
+    def fits(inside: tuple[str, ...], at_end: tuple[str, ...], on_page: tuple[str, ...]) -> Column:
+        test = F.lit(False)
+        for held in [*[low.contains(k) for k in inside], *[low.endswith(k) for k in at_end], *[page.contains(k) for k in on_page]]:
+            test = test | held
+        return test
+
+    return F.coalesce(*[F.when(fits(*held), F.lit(n)) for n, *held in DOCUMENT_CLASSES], F.lit("OTHER"))
 
 
 def uncertainty(rows: DataFrame, least_chars: int = 40, slow: float = 400.0) -> DataFrame:

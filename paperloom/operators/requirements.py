@@ -67,35 +67,6 @@ def packed(pages: DataFrame, most: int = 3000) -> DataFrame:
     return pages.select("document", "page", F.posexplode(parts).alias("part", "text"))
 
 
-def question_terms(question: str) -> tuple[list[str], list[str]]:
-    """Words and phrases of a question, with those of the same clause in other wordings."""
-    import re
-
-    low = question.lower()
-    words = [w for w in re.findall(r"[a-z0-9]{3,}|[ء-ي]{3,}", low) if w not in R.QUESTION_WORDS]
-    phrases = [f"{a} {b}" for a, b in zip(words, words[1:])]
-    for pattern, terms in R.SYNONYMS:
-        if re.search(pattern, low):
-            phrases += [t for t in terms if " " in t]
-            words += [w for t in terms for w in t.split()]
-    return sorted(set(words)), sorted(set(phrases))
-
-
-def search(pages: DataFrame, question: str, limit: int = 5) -> DataFrame:
-    """The limit best sentences (document, page, quote, score) of pages for a question, one for each opening of 80 characters.
-
-    A word counts 1, a phrase 2.5, a digit in a hit 0.5; at least 2 are needed, and 25 to 600 characters.
-    """
-    words, phrases = question_terms(question)
-    parts = F.split(F.regexp_replace("text", r"([.;])\s+|\n{2,}", "$1\u0001"), "\u0001")
-    rows = pages.select("document", "page", F.explode(parts).alias("s")).select("document", "page", F.trim(F.regexp_replace("s", r"\s+", " ")).alias("s"))
-    rows = rows.where(F.length("s").between(25, 600)).withColumn("low", F.lower("s"))
-    score = sum((F.when(F.contains("low", F.lit(t)), n).otherwise(0.0) for ts, n in ((words, 1.0), (phrases, 2.5)) for t in ts), F.lit(0.0))
-    rows = rows.withColumn("score", score).withColumn("score", F.col("score") + F.when((F.col("score") > 0) & F.col("low").rlike(r"\d"), 0.5).otherwise(0.0)).where("score >= 2")
-    best = rows.groupBy(F.substring("s", 1, 80).alias("opening")).agg(F.max(F.struct("score", F.concat(F.lit(""), "s").alias("s"), "document", "page")).alias("b"))
-    return best.select("b.document", "b.page", F.substring("b.s", 1, 300).alias("quote"), "b.score").orderBy(F.col("score").desc(), "quote").limit(limit)
-
-
 def grounded(replies: DataFrame) -> DataFrame:
     """Replies (id, reply, sources) with verdict: refused for links or foreign citations, empty without any, else shown; at most 900 characters."""
     cited = F.transform(F.regexp_extract_all("reply", F.lit(r"\[(\d{1,2})\]"), 1), lambda n: n.cast("int"))

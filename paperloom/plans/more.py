@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import rules as R
 from paperloom.functions import text as T
+from paperloom.operators import questions as A
 from paperloom.operators import requirements as Q
 from paperloom.operators import rollups as U
 from paperloom.operators import sections as S
@@ -128,20 +129,29 @@ def packed_paragraphs(spark, sf):
     return rows.select("page", "part", F.size(F.split("text", "\n")).cast("long").alias("lines"), F.length("text").cast("long").alias("chars"))
 
 
-def _terms_sql(question: str) -> str:
-    words, phrases = Q.question_terms(question)
-    return " + ".join(f"CASE WHEN contains(lower(s), {_quoted(t)}) THEN {n} ELSE 0 END" for ts, n in ((words, 1.0), (phrases, 2.5)) for t in ts)
-
-
 QUESTION = "When does the performance bond of the contract price expire?"
+QUESTIONS = (QUESTION, "What is the liquidated damages clause?", "ما هي غرامة تأخير العقد؟", "Does the tender ask for an ISO certificate?", "هل يوجد محول؟", "and what?", "")
+ASKED = "qs AS (SELECT unnest(range(len(q))) AS id, unnest(q) AS question FROM (SELECT [" + ", ".join(map(_quoted, QUESTIONS)) + "] AS q))"
+CLAUSE_TERMS = " UNION ALL ".join(f"SELECT {_quoted(p)} AS pattern, [{', '.join(map(_quoted, held))}] AS held" for p, held in (*R.ARABIC_TERMS, *R.SYNONYMS))
+FOUND = rf"""ct AS ({CLAUSE_TERMS}), ow AS (SELECT id, lower(question) AS low, list_filter(regexp_extract_all(lower(question), '[a-z0-9]{{3,}}|[ء-ي]{{3,}}'), lambda w: w NOT IN ({', '.join(map(_quoted, R.QUESTION_WORDS))})) AS own FROM qs),
+mo AS (SELECT id, unnest(held) AS t FROM ow JOIN ct ON regexp_matches(low, pattern)),
+tm AS (SELECT id, unnest(own) AS term, 1.0::DOUBLE AS weight FROM ow UNION SELECT id, unnest(string_split(t, ' ')), 1.0 FROM mo UNION SELECT id, unnest(list_transform(range(1, len(own)), lambda i: own[i] || ' ' || own[i + 1])), 2.5 FROM ow UNION SELECT id, t, 2.5 FROM mo WHERE contains(t, ' ')),
+p AS (SELECT document, page, trim(regexp_replace(unnest(string_split(regexp_replace(text, '([.;])\s+|\n{{2,}}', '\1' || chr(1), 'g'), chr(1))), '\s+', ' ', 'g')) AS s FROM pages_),
+pn AS (SELECT *, row_number() OVER () AS r FROM p WHERE length(s) BETWEEN 25 AND 600),
+d AS (SELECT id, r, any_value(document) AS document, any_value(page) AS page, any_value(s) AS s, sum(weight) + CASE WHEN regexp_matches(any_value(s), '\d') THEN 0.5 ELSE 0 END AS score FROM pn JOIN tm ON contains(lower(s), term) GROUP BY 1, 2),
+bs AS (SELECT *, row_number() OVER (PARTITION BY id, left(s, 80) ORDER BY score DESC, s DESC, document DESC, page DESC) AS k FROM d WHERE score >= 2),
+rk AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY score DESC, s) AS nth, document, page, left(s, 300) AS quote, score FROM bs WHERE k = 1)"""
+
+
+@query(f"WITH {PAGES}, {ASKED}, {FOUND} SELECT document, page, quote, score FROM rk WHERE nth <= 5 AND id = 0")
+def sentence_search(spark, sf):
+    asked = spark.createDataFrame([(0, QUESTION)], "id long, question string")
+    return A.search(page_rows(spark, sf), asked).select("document", "page", "quote", "score")
 
 
-@query(rf"""WITH {PAGES}, p AS (SELECT document, page, trim(regexp_replace(unnest(string_split(regexp_replace(text, '([.;])\s+|\n{{2,}}', '\1' || chr(1), 'g'), chr(1))), '\s+', ' ', 'g')) AS s FROM pages_),
-c AS (SELECT *, ({_terms_sql(QUESTION)})::DOUBLE AS t FROM p WHERE length(s) BETWEEN 25 AND 600),
-d AS (SELECT document, page, s, t + CASE WHEN t > 0 AND regexp_matches(s, '\d') THEN 0.5 ELSE 0 END AS score FROM c)
-SELECT document, page, left(s, 300) AS quote, score FROM (SELECT *, row_number() OVER (PARTITION BY left(s, 80) ORDER BY score DESC, s DESC, document DESC, page DESC) AS k FROM d WHERE score >= 2) WHERE k = 1 ORDER BY score DESC, quote LIMIT 5""")
-def sentence_search(spark, sf):
-    return Q.search(page_rows(spark, sf), QUESTION)
+@query(f"WITH {PAGES}, {ASKED}, {FOUND} SELECT * FROM rk WHERE nth <= 5")
+def question_search(spark, sf):
+    return A.search(page_rows(spark, sf), spark.createDataFrame(list(enumerate(QUESTIONS)), "id long, question string"))
 
 
 @query("SELECT turn + conv_id * 1000 AS id, CASE WHEN coalesce(text, '') = '' THEN 'none' WHEN turn % 4 = 1 THEN 'refused' WHEN turn % 4 = 2 THEN 'refused' WHEN turn % 4 = 3 THEN 'empty' ELSE 'shown' END AS verdict FROM conversations")

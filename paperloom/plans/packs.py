@@ -196,12 +196,13 @@ def written_dates(spark, sf):
     return table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), written.alias("written")).withColumn("day", P.date_of(F.col("written")))
 
 
-CLASSES = (("bill", "boq|bill of quantities|price schedule"), ("form", "form|annex"), ("specification", "spec|tmss|technical"), ("commercial", "commercial|terms|payment|bond"), ("schedule", "schedule|programme|delivery"))
+NAMES = ("Vol 2 BOQ.xlsx", "Price list.pdf", "Technical Data.pdf", "Site plan.DWG", "Consortium draft.docx", "Commercial offer.pdf", "Clarification 3.pdf", "Addendum 1.zip", "Volume 4.pdf", "drawing list.pdf", "Photos.rar")
+_class_rules = " ".join("WHEN " + " OR ".join([*[f"contains(n, '{k}')" for k in inside], *[f"ends_with(n, '{k}')" for k in at_end], *[f"contains(t, '{k}')" for k in on_page]]) + f" THEN '{c}'" for c, inside, at_end, on_page in P.DOCUMENT_CLASSES)
 
 
-@query(f"WITH {PAGES} SELECT page, CASE " + " ".join(f"WHEN regexp_matches(lower(name), '{p}') THEN '{n}'" for n, p in CLASSES) + " " + " ".join(f"WHEN regexp_matches(lower(text), '{p}') THEN '{n}'" for n, p in CLASSES) + " ELSE 'other' END AS class FROM (SELECT page, text, CASE WHEN page % 9 = 0 THEN 'Vol 2 BOQ.xlsx' WHEN page % 9 = 1 THEN 'Form 3.pdf' ELSE document || '.pdf' END AS name FROM pages_)")
+@query(f"WITH {PAGES} SELECT page, CASE {_class_rules} ELSE 'OTHER' END AS class FROM (SELECT page, lower(coalesce(left(text, 500), '')) AS t, lower((['" + "', '".join(NAMES) + "'])[(page % 11 + 1)::INT]) AS n FROM pages_)")
 def document_classes(spark, sf):
-    name = F.when(F.col("page") % 9 == 0, "Vol 2 BOQ.xlsx").when(F.col("page") % 9 == 1, "Form 3.pdf").otherwise(F.concat("document", F.lit(".pdf")))
+    name = F.element_at(F.array(*map(F.lit, NAMES)), (F.col("page") % 11 + 1).cast("int"))
     return page_rows(spark, sf).select("page", P.document_class(name, F.col("text")).alias("class"))
 
 
