@@ -9,7 +9,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from paperloom.plans import evidence, more, packs, registry, review
+from paperloom.plans import evidence, more, packages, packs, registry, review
 
 SF = "/root/testdata/sf0.001"
 
@@ -37,6 +37,6 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", ["tender_decision", "compliance_counts", "weighted_score", "vote_summary", "supplier_top5", "bulk_materials", "cost_by_currency", "quotation_score", "rate_limit", "latency_p95", "macro_f1", "accepted_candidates", "normalized_dedup", "repeated_lines", "section_ranges", "fact_conflicts", "words_vs_digits", "material_keys", "near_dup_pairs", "task_clusters", "tfidf_similar", "stream_hourly_counts", "stream_latest_stage", "stream_dedup_upsert", *review.QUERIES, "stream_sliding_limit", "stream_timeouts", "sliding_limit", "incremental_extraction", *more.ORACLE_SQL, *packs.ORACLE_SQL, *evidence.ORACLE_SQL])
+@pytest.mark.parametrize("name", ["tender_decision", "compliance_counts", "weighted_score", "vote_summary", "supplier_top5", "bulk_materials", "cost_by_currency", "quotation_score", "rate_limit", "latency_p95", "macro_f1", "accepted_candidates", "normalized_dedup", "repeated_lines", "section_ranges", "fact_conflicts", "words_vs_digits", "material_keys", "near_dup_pairs", "task_clusters", "tfidf_similar", "stream_hourly_counts", "stream_latest_stage", "stream_dedup_upsert", *review.QUERIES, "stream_sliding_limit", "stream_timeouts", "sliding_limit", "incremental_extraction", *more.ORACLE_SQL, *packs.ORACLE_SQL, *evidence.ORACLE_SQL, *packages.ORACLE_SQL])
 def test_query_equals_sql(spark, duck, name):
     assert rows(registry.QUERIES[name](spark, SF).toPandas()) == rows(duck.execute(registry.ORACLE_SQL[name]).df())
