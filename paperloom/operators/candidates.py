@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from paperloom.functions import text as T
 
 
-def discover(pages: DataFrame) -> DataFrame:
+def discover(pages: DataFrame, rejects: bool = True) -> DataFrame:
     """One row per sentence of pages (document, page, text): line, n, sentence, signals, reason, seq.
 
     reason is the first that holds: SKIPPED_TINY_INPUT (one row a page, whose text is short), REJECTED_TINY,
     REJECTED_OCR_GARBAGE, REJECTED_NO_SIGNAL, REJECTED_MIXED_MULTI, over_parent_cap; null if accepted.
     The sentences of a page are one array: they are judged, numbered and capped in it, so that nothing is shuffled.
+    Without rejects only accepted ones are returned, and sentences without a signal are not judged.
     """
     tiny = F.length(F.trim("text")) < T.TINY_PARENT
     columns = ["document", "page", "line", "n", "sentence", "signals", "reason", "seq"]
@@ -33,8 +34,13 @@ def discover(pages: DataFrame) -> DataFrame:
         over = at >= T.MOST_ACCEPTED
         return row(s, s["signals"], F.when(over, "over_parent_cap"), F.when(~over, at + 1))
 
-    held = pages.where(~tiny).select("document", "page", F.transform(T.sentences(F.col("text")), judge).alias("judged"))
+    parts = T.sentences(F.col("text"))
+    if not rejects:
+        parts = F.filter(parts, lambda s: F.lower(s["sentence"]).rlike(T.ANY_SIGNAL))
+    held = pages.where(~tiny).select("document", "page", F.transform(parts, judge).alias("judged"))
     accepted = F.transform(F.filter("judged", lambda s: s["reason"].isNull()), number)
+    if not rejects:
+        return held.select("document", "page", F.inline_outer(accepted)).where("sentence is not null and reason is null").select(columns)  # outer: else pages are judged twice
     rejected = F.filter("judged", lambda s: s["reason"].isNotNull())
     return skipped.select(columns).union(held.select("document", "page", F.inline(F.concat(accepted, rejected))).select(columns))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as T
@@ -16,9 +16,10 @@ def _all(pattern: str, *groups: int) -> Column:
 
 def facts(pages: DataFrame) -> DataFrame:
     """document, page, fact, value, quote: every fact of every sentence without a word that says it is none; periods in the fact's unit."""
-    rows = pages.select("document", "page", F.explode(T.sentences(F.col("text"))["sentence"]).alias("text")).where(~F.col("text").rlike(T.FACT_SKIP))
+    said = F.filter(T.sentences(F.col("text"))["sentence"], lambda x: x.rlike("[0-9]") & x.rlike(T.FACT_ANCHOR))  # most sentences have no digit
+    rows = pages.select("document", "page", F.explode_outer(said).alias("text")).where(~F.col("text").rlike(T.FACT_SKIP))  # outer: else sentences are split twice, to see whether there are any
     each = [F.transform(F.arrays_zip(F.regexp_extract_all("text", F.lit(p), F.lit(1)).alias("v"), F.regexp_extract_all("text", F.lit(p), F.lit(2)).alias("u")), _named(f)) for f, _, p in T.FACTS]
-    return rows.select("document", "page", F.substring(F.regexp_replace("text", r"\s+", " "), 1, 300).alias("quote"), F.inline(F.concat(*each))).select("document", "page", "fact", "value", "quote")
+    return rows.select("document", "page", F.substring(F.regexp_replace("text", r"\s+", " "), 1, 300).alias("quote"), F.inline_outer(F.concat(*each))).where("fact is not null").select("document", "page", "fact", "value", "quote")
 
 
 def _named(fact: str):
@@ -34,9 +35,11 @@ def _named(fact: str):
 def fact_conflicts(found: DataFrame) -> DataFrame:
     """Values of facts that have two values or more in two documents or more: documents, first page and its quote."""
     first = F.min(F.struct("page", "document", "quote")).alias("f")
-    per = found.groupBy("fact", "value").agg(F.countDistinct("document").alias("documents"), first)
-    several = found.groupBy("fact").agg(F.countDistinct("value").alias("v"), F.countDistinct("document").alias("d")).where("v > 1 and d > 1").select("fact")
-    return per.join(several, "fact").select("fact", "value", "documents", F.col("f.page").alias("first_page"), F.col("f.quote").alias("quote"))
+    per = found.groupBy("fact", "value").agg(F.countDistinct("document").alias("documents"), first, F.min("document").alias("low"), F.max("document").alias("high"))
+    of_fact = Window.partitionBy("fact")  # a row for each value of a fact, numbers of up to four digits
+    values, several = F.count(F.lit(1)).over(of_fact) > 1, F.min("low").over(of_fact) != F.max("high").over(of_fact)
+    per = per.withColumn("kept", values & several).where("kept")
+    return per.select("fact", "value", "documents", F.col("f.page").alias("first_page"), F.col("f.quote").alias("quote"))
 
 
 def words_vs_digits(pages: DataFrame) -> DataFrame:

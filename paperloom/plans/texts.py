@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import text as T
 from paperloom.operators import candidates, cosine, facts, pages, similarity
-from paperloom.sources.tables import table
+from paperloom.sources.tables import spread, table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -81,11 +81,11 @@ def query(sql: str | None = None):
 def page_rows(spark: SparkSession, sf: str) -> DataFrame:
     clause = F.element_at(F.array(*map(F.lit, CLAUSES)), (F.col("doc_id") % 12 + 1).cast("int"))
     head = F.when(F.col("doc_id") % 2 == 0, F.lit(HEADER + "\n")).otherwise("")
-    return table(spark, sf, "documents").select(F.col("source").alias("document"), F.col("doc_id").alias("page"), F.concat(head, "text", F.lit("\n"), clause).alias("text"))
+    return spread(table(spark, sf, "documents").select("doc_id", "source", "text")).select(F.col("source").alias("document"), F.col("doc_id").alias("page"), F.concat(head, "text", F.lit("\n"), clause).alias("text"))
 
 
 def _accepted(spark, sf) -> DataFrame:
-    rows = candidates.discover(page_rows(spark, sf)).where("reason is null")
+    rows = candidates.discover(page_rows(spark, sf), rejects=False)
     return rows.select("document", (F.col("page") * 100 + F.col("seq")).alias("id"), "sentence", "signals")
 
 
@@ -106,7 +106,7 @@ def candidate_rejects(spark, sf):
 
 @query(ALL + "SELECT page, line, n, signals, seq, sentence FROM cand WHERE reason IS NULL")
 def accepted_candidates(spark, sf):
-    return candidates.discover(page_rows(spark, sf)).where("reason is null").select("page", "line", "n", "signals", "seq", "sentence")
+    return candidates.discover(page_rows(spark, sf), rejects=False).select("page", "line", "n", "signals", "seq", "sentence")
 
 
 @query(ALL + "SELECT reason, count(*) AS rows FROM cand WHERE reason IS NOT NULL AND reason <> 'over_parent_cap' GROUP BY 1")

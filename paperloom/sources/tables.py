@@ -15,6 +15,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, small: int = 16 << 20) -> DataFrame:
+    """rows dealt over all cores if there are less than small bytes for each, so that it costs little: a small file is often one partition.
+
+    Larger inputs lie in many partitions and stay where they are; the rows are the same either way.
+    """
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if size < cores * small else rows
+
+
 def requirements(lineitem: DataFrame) -> DataFrame:
     """tender_id, line, part, category, mandatory, requirement_type: one per order and line number."""
     rows = lineitem.groupBy(F.col("l_orderkey").alias("tender_id"), F.col("l_linenumber").alias("line")).agg(F.min("l_partkey").alias("part"))
