@@ -19,10 +19,14 @@ def jaccard_pairs(rows: DataFrame, least: float) -> DataFrame:
     ordered = ranked.groupBy("block", "id").agg(F.transform(F.array_sort(F.collect_list(F.struct("count", "token"))), lambda s: s["token"]).alias("tokens"))
     n = F.size("tokens")
     prefix = F.slice("tokens", 1, (n - F.ceil(n * F.lit(least) - F.lit(1e-9)) + 1).cast("int"))
-    index = ordered.select("block", "id", "tokens", F.explode(prefix).alias("token"))
-    left = index.select("block", "token", F.col("id").alias("a"), F.col("tokens").alias("ta"))
-    right = index.select("block", "token", F.col("id").alias("b"), F.col("tokens").alias("tb"))
-    pairs = left.join(right, ["block", "token"]).where("a < b").dropDuplicates(["block", "a", "b"])
+    index = ordered.select("block", "id", n.alias("n"), F.explode(prefix).alias("token"))
+    left = index.select("block", "token", F.col("id").alias("a"), F.col("n").alias("na"))
+    right = index.select("block", "token", F.col("id").alias("b"), F.col("n").alias("nb"))
+    sizes = F.least("na", "nb") >= F.lit(least) * F.greatest("na", "nb") - F.lit(1e-9)  # else the shorter cannot hold enough
+    pairs = left.join(right, ["block", "token"]).where((F.col("a") < F.col("b")) & sizes).select("block", "a", "b").distinct()
+    held = rows.select("block", "id", "tokens")
+    pairs = pairs.join(held.select("block", F.col("id").alias("a"), F.col("tokens").alias("ta")), ["block", "a"])
+    pairs = pairs.join(held.select("block", F.col("id").alias("b"), F.col("tokens").alias("tb")), ["block", "b"])
     same = F.size(F.array_intersect("ta", "tb"))
     similarity = same / (F.size("ta") + F.size("tb") - same)
     return pairs.select("block", "a", "b", F.bround(similarity, 6).alias("similarity")).where(F.col("similarity") >= least)
