@@ -11,8 +11,10 @@ patterns are trusted. Trusted patterns discover identifiers that no fixed patter
 from __future__ import annotations
 
 import re
+from array import array
 from bisect import bisect
 from collections.abc import Iterator
+from itertools import chain
 from hashlib import sha256
 
 import pyarrow as pa
@@ -31,7 +33,9 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 DOTTED = re.compile(r"[0-9][0-9.]*")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-TOKEN = re.compile(r"\S*[0-9@]\S*")
+#: Sought from the start of a word only, so that a long word costs its length once.
+TOKEN = re.compile(r"(?<!\S)[^\s0-9@]*+[0-9@]\S*")
+WORD = re.compile(r"\S+")
 #: A token that is a digit group, such as one of (555) 123 4567, and one after which no further group belongs to it.
 GROUP = re.compile(r"[(\[+]*[0-9][0-9()\[\].+/-]*[,;:!?]*")
 #: The sign between the parts of a spelt-out address, its dots, and what follows the sign.
@@ -42,7 +46,6 @@ DOT_BEFORE = re.compile(DOT + r"\Z")
 SPELT_DOMAIN = re.compile(rf"[A-Za-z0-9-]+(?:{DOT}[A-Za-z0-9-]+)+")
 #: Longer instances and words of a context are known by their digest.
 LONG = 64
-NEXT = re.compile(r"\S*\s+(\S+)")
 #: Digits of a phone, also without its country code, and of a card.
 PHONE_DIGITS, CARD_DIGITS = range(7, 16), range(16, 20)
 EDGES = ".,;:!?()[]{}<>\"'|*#&$%"
@@ -107,26 +110,29 @@ def _name(word: str) -> str:
     return word if len(word) <= LONG else sha256(word.encode("utf-8", "replace")).hexdigest()
 
 
-def context(text: str, at: int) -> str:
-    """The two words before the token in which position at lies, in lower case, by a space; ^ for a missing one."""
-    width = 160
-    while True:  # wider until two whole words are in sight
-        head = text[max(0, at - width) : at]
-        cut = len(head.rstrip())
-        if cut == len(head):  # the entity does not open its token
-            cut = max(head.rfind(c) for c in " \t\n\r\v\f") + 1
-        words = head[:cut].split()
-        if at <= width or len(words) > 2:
-            break
-        width *= 4
-    words = [_name(w.lower()) for w in words[-2:]]
-    return " ".join(["^"] * (2 - len(words)) + words)
+class Words:
+    """The words of a text by their places, found once; a word's name is made once however many entities stand beside it."""
 
+    def __init__(self, text: str):
+        self.text, self.names = text, {}
+        self.bounds = array("q", chain.from_iterable(m.span() for m in WORD.finditer(text)))  # start and end in turn
 
-def follower(text: str, end: int) -> str:
-    """The word after the token in which position end lies, in lower case; $ if there is none."""
-    m = NEXT.match(text, end)
-    return _name(m.group(1).lower()) if m else "$"
+    def name(self, i: int, missing: str) -> str:
+        """The word whose start is bounds[i], in lower case; missing if there is none."""
+        if not 0 <= i < len(self.bounds):
+            return missing
+        if i not in self.names:
+            self.names[i] = _name(self.text[self.bounds[i] : self.bounds[i + 1]].lower())
+        return self.names[i]
+
+    def before(self, at: int) -> str:
+        """The two words before the word in which position at lies, by a space; ^ for a missing one."""
+        i = bisect(self.bounds, at) - 1
+        return f"{self.name(i - 4, '^')} {self.name(i - 2, '^')}"
+
+    def after(self, end: int) -> str:
+        """The word after the one that holds the character before end; $ if there is none."""
+        return self.name(bisect(self.bounds, end - 1) + 1, "$")
 
 
 def shape(word: str) -> str:
@@ -137,7 +143,7 @@ def shape(word: str) -> str:
     if len(digits) < 4 or any(map(str.isalpha, word)):
         return ""
     parts = word.replace("[.]", ".").replace("(.)", ".").split(".")
-    if len(parts) == 4 and all(p.isdigit() and len(p) < 4 and int(p) <= 255 for p in parts):
+    if len(parts) == 4 and all(p.isascii() and p.isdigit() and len(p) < 4 and int(p) <= 255 for p in parts):
         return "dots"
     if len(digits) in CARD_DIGITS:
         return "card" if luhn(digits) else ""
@@ -212,20 +218,23 @@ def scan(text: str | None) -> tuple[list[tuple], list[tuple]]:
     marked = re.search("[0-9@]", text)
     base = fixed_spans(text) if marked else []
     shapes = ("at", "dots", "card", "phone")
-    seen = [(k, a, b, _name(text[a:b].lower()), context(text, a), follower(text, b), shapes[k]) for k, a, b in base]
     covered: list[tuple[int, int]] = []
     for a, b in sorted((a, b) for _, a, b in base):
         if covered and a < covered[-1][1]:
             covered[-1] = covered[-1][0], max(b, covered[-1][1])
         else:
             covered.append((a, b))
-    free = lambda a, b: all(y <= a or x >= b for x, y in covered[max(bisect(covered, (a,)) - 1, 0) :][:2])
+
+    def free(a: int, b: int) -> bool:
+        i = max(bisect(covered, (a,)) - 1, 0)
+        return all(y <= a or x >= b for x, y in covered[i : i + 2])
+
     spelt = [(a, b) for a, b in _spelt(text) if free(a, b)]
     covered = sorted(covered + spelt)
     found = [(a, b, a, "at") for a, b in spelt] + [(a, b, t, shape(text[a:b])) for a, b, t in (_candidates(text, covered) if marked else [])]
-    for a, b, token, form in sorted(found):
-        seen.append((-1, a, b, _name(text[a:b].lower()), context(text, token), follower(text, b), form))
-    return base, seen
+    places = [(k, a, b, a, shapes[k]) for k, a, b in base] + [(-1, *x) for x in sorted(found)]
+    words = Words(text if places else "")
+    return base, [(k, a, b, _name(text[a:b].lower()), words.before(token), words.after(b), form) for k, a, b, token, form in places]
 
 
 SEEN_NAMES = ("k", "start", "end", "inst", "ctx", "next", "shape")

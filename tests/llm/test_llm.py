@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import textwrap
+import time
 import zlib
 
 import duckdb
@@ -198,6 +199,28 @@ def test_fixed_spans(docs):
         assert personal_data.fixed_spans(text) == slow
 
 
+@pytest.mark.parametrize("unit", ["ab@cd.ef,", "1.", "+1 (", "(", "中", " at", "a dot at ", "(at)", "1 ", "a@", "a.", " dot a", "w" * 999 + "1@a.b"], ids=lambda u: u[:9])
+def test_personal_data_takes_time_by_the_length(unit):
+    """Eight times the text takes about eight times as long, not 64 times; words without a space too."""
+
+    def took(chars):
+        text = unit * (chars // len(unit)) + " 1"
+        at = time.process_time()
+        personal_data.scan(text)
+        return time.process_time() - at
+
+    took(10_000)
+    short, long = min(took(50_000) for _ in range(3)), took(400_000)
+    assert long < 24 * short + 0.2
+
+
+def test_words_beside_an_entity():
+    words = personal_data.Words("One two\u00a0three, four")
+    assert [words.before(at) for at in (0, 5, 8, 17)] == ["^ ^", "^ one", "one two", "two three,"]
+    assert [words.after(end) for end in (1, 3, 6, 20)] == ["two", "two", "three,", "$"]
+    assert personal_data.scan("12.3.4.\u00b2 0.0.0.0.\u0663")[0] == [(1, 9, 16)]
+
+
 def test_bootstrapping(spark):
     rows = [(i, f"alpha beta. Please reach mailbox: user{i}@mail.example.com for more of it") for i in range(6)] + [(10, "Please reach mailbox: user77(at)mail-2024 soon"), (11, "of the 20240101 and of the 20240102 it is")]
     got = {r.doc_id: r for r in personal_data.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
