@@ -115,21 +115,25 @@ def first_of_each(rows: DataFrame, key: str, limit: int) -> DataFrame:
     return rows.select("doc_id", key)
 
 
+def whole_row(docs: DataFrame) -> F.Column:
+    """All columns of docs as one struct, so that no name of theirs, with a dot or not, meets one of ours."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns])
+
+
 def line_digest(docs: DataFrame) -> F.Column:
     """SHA-256 of a whole row: rows share it only if they are alike in every column."""
-    return F.sha2(F.to_json(F.struct(*docs.columns)), 256)
+    return F.sha2(F.to_json(whole_row(docs)), 256)
 
 
 def lines_once(docs: DataFrame) -> DataFrame:
-    """docs with __line, its line_digest; of rows alike in every column one. Copies go before the shuffle, so none is gathered."""
-    rows = docs.withColumn("__line", line_digest(docs))
-    nth = F.row_number().over(Window.partitionBy("__line").orderBy("__line"))
-    return rows.withColumn("__nth", nth).where("__nth = 1").drop("__nth")
+    """(line, held): the line_digest of docs and the row itself; of rows alike in every column one. Copies go before the shuffle, so none is gathered."""
+    rows = docs.select(line_digest(docs).alias("line"), whole_row(docs).alias("held"))
+    return rows.withColumn("nth", F.row_number().over(Window.partitionBy("line").orderBy("line"))).where("nth = 1").drop("nth")
 
 
 def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """The rows of docs whose line_digest is in kept (line); of rows alike in every column, one. The text is shuffled once."""
-    return lines_once(docs).join(kept.select(F.col("line").alias("__line")), "__line", "left_semi").drop("__line")
+    return lines_once(docs).join(kept.select("line"), "line", "left_semi").select("held.*")
 
 
 def split_join(rows: DataFrame, per_key: DataFrame, key: str, how: str = "inner") -> DataFrame:

@@ -260,25 +260,35 @@ def held_out() -> F.Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
 
 
+def has_letter() -> F.Column:
+    return F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+
+
 def identify(docs: DataFrame) -> DataFrame:
-    """predict() with a model of the documents that are not held out; without any such document all is und."""
+    """predict() with a model of the documents that are not held out.
+
+    Without any labelled document among those nothing can be judged: all is und with score 0, and what has a letter is accepted.
+    """
     model = train(docs.where(F.coalesce(~held_out(), F.lit(True))))
     if model is None:
-        return docs.select(F.col("doc_id").cast("long"), F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("n_scored"), F.lit(0.0).alias("nats"), F.lit(False).alias("accepted"))
+        none = {"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0), "n_scored": F.lit(0).cast("long"), "nats": F.lit(0.0), "accepted": has_letter()}
+        return docs.select(F.col("doc_id").cast("long"), *[c.alias(n) for n, c in none.items()])
     return predict(docs, model)
 
 
 def accepted_documents(docs: DataFrame) -> DataFrame:
     """docs without those that the models reject; all columns, the text scored where it lies.
 
-    Rows are tested as they pass, so nothing is joined or shuffled.
+    Rows are tested as they pass, so nothing is joined or shuffled. Without any labelled document to learn from
+    nothing can be judged, and all documents with a letter go on. Columns may have any names.
     """
     model = train(docs.where(F.coalesce(~held_out(), F.lit(True))))
     if model is None:
-        return docs.limit(0)
+        return docs.where(has_letter())
 
-    at = docs.columns.index("text")
-    return docs.mapInArrow(partial(_accepted, at=at, model=model), docs.schema)
+    # Spark would take a dot in a name for a field
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return plain.mapInArrow(partial(_accepted, at=docs.columns.index("text"), model=model), plain.schema).toDF(*docs.columns)
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

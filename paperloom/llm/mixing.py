@@ -71,12 +71,12 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
 
     Rows alike in every column are one row with the sum of their copies, given out again as so many rows.
     """
-    taken = mix(docs, line=line_digest(docs), **how).groupBy(F.col("line").alias("__line")).agg(F.sum("copies").alias("__copies")).where("__copies > 0")
-    rows = lines_once(docs).join(taken, "__line")
-    thousands = F.ceil(F.col("__copies") / 1000).cast("int")
-    rows = rows.withColumn("__part", F.explode(F.sequence(F.lit(1), thousands)))
-    each = F.when(F.col("__part") < thousands, 1000).otherwise(F.col("__copies") - (thousands - 1) * 1000)
-    return rows.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), each.cast("int")))).select(*docs.columns)
+    taken = mix(docs, line=line_digest(docs), **how).groupBy("line").agg(F.sum("copies").alias("copies")).where("copies > 0")
+    rows = lines_once(docs).join(taken, "line")
+    thousands = F.ceil(F.col("copies") / 1000).cast("int")
+    rows = rows.withColumn("part", F.explode(F.sequence(F.lit(1), thousands)))
+    each = F.when(F.col("part") < thousands, 1000).otherwise(F.col("copies") - (thousands - 1) * 1000)
+    return rows.withColumn("copy", F.explode(F.array_repeat(F.lit(1), each.cast("int")))).select("held.*")
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

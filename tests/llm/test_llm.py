@@ -340,6 +340,27 @@ def test_pipeline_stages_on_odd_rows(spark):
     assert len(pieces) == len(rows)
 
 
+def test_stages_keep_columns_of_any_name(spark):
+    """Names that the stages use inside, with dots and with marks, come out of every stage with their values."""
+    names = ["__line", "__copies", "a.b", "row", "line", "held", "copies", "part", "copy", "nth", "c0", "x`y", "digest", "fp", "size"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join("`" + n.replace("`", "``") + "` string" for n in names)
+    words = ["the cat sat on the mat", "a dog ran in the park", "rain fell over the town"]
+    rows = [(i, f"{words[i % 3]} and then {i} more came", "en", f"s{i % 2}", 9, *[f"{n} {i}" for n in names]) for i in range(12)]
+    docs = spark.createDataFrame(rows, schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, SF)
+        assert got.columns == docs.columns, name
+        found = {tuple(r) for r in got.collect()}
+        assert found and found <= set(rows), name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == 12
+
+
+def test_documents_without_labels_go_on(spark):
+    docs = spark.createDataFrame([(1, "plain words", None), (2, "123 456", None), (3, None, None), (4, "слова", None), (5, "", None)], "doc_id long, text string, lang string")
+    assert sorted(r.doc_id for r in language_id.accepted_documents(docs).collect()) == [1, 4]
+    assert [(r.doc_id, r.lang_pred, r.accepted) for r in language_id.identify(docs).orderBy("doc_id").collect()] == [(i, "und", i in (1, 4)) for i in range(1, 6)]
+
+
 def test_rows_alike_are_given_out_again(spark):
     docs = spark.createDataFrame([(1, "a b c d", "en", "x", 0)] * 2500 + [(2, "e f", "en", "y", 0)], "doc_id long, text string, lang string, source string, n_chars long")
     taken = mixing.mix(docs).groupBy("doc_id").sum("copies").collect()
