@@ -337,10 +337,10 @@ TERMS = f"tm AS (SELECT source AS id, term, count(*) AS tf FROM (SELECT source,
 
 
 @query(f"""WITH {TERMS}, nn AS (SELECT count(DISTINCT id) AS n FROM tm), w AS (SELECT id, term, tf * ln((n + 1) / (df + 0.5)) AS w FROM tm JOIN (SELECT term, count(*) AS df FROM tm GROUP BY 1) USING (term), nn), nr AS (SELECT id, sqrt(sum(w * w)) AS norm FROM w GROUP BY 1), u AS (SELECT id, term, w / norm AS w FROM w JOIN nr USING (id))
-SELECT * FROM (SELECT id, other, cosine, row_number() OVER (PARTITION BY id ORDER BY cosine DESC, other) AS position FROM (SELECT x.id, y.id AS other, round_even(sum(x.w * y.w), 6) AS cosine FROM u x JOIN u y ON x.term = y.term AND x.id <> y.id GROUP BY 1, 2) WHERE cosine >= 0.2) WHERE position <= 5""")
+SELECT * FROM (SELECT id, other, cosine, row_number() OVER (PARTITION BY id ORDER BY cosine DESC, other) AS position FROM (SELECT x.id, y.id AS other, round_even(sum(x.w * y.w), 6) AS cosine FROM u x JOIN u y ON x.term = y.term AND x.id <> y.id GROUP BY 1, 2)) WHERE position <= 5""")
 def tfidf_similar(spark, sf):
     words = table(spark, sf, "documents").select(F.col("source").alias("id"), F.explode(F.split(T.normal_form(F.col("text")), " ")).alias("term")).where("length(term) > 3")
-    return cosine.similar(words.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf")), 0.2, 5)
+    return cosine.similar(words.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf")), 5)
 
 
 @query(f"""WITH q AS (SELECT item_id AS q, list_filter({TOK.format(_form_sql('text'))}, lambda t: length(t) > 4) AS tok FROM benchmark), p AS (SELECT doc_id AS p, list_filter({TOK.format(_form_sql('text'))}, lambda t: length(t) > 4) AS tok FROM documents),
