@@ -16,7 +16,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import cache, partial
-from itertools import chain
+from itertools import islice
 from zlib import crc32
 
 import numpy as np
@@ -28,7 +28,7 @@ from paperloom.llm._shared import documents, running_total, shared_table, shuffl
 
 LENGTH, END, MARK, VOCABULARY = 1024, 0, "<|endoftext|>", "byte_bpe_50k.json"
 #: Chunks of at most so many characters are remembered, and so many of them.
-SHORT, MOST = 40, 80_000
+SHORT, MOST = 40, 170_000
 #: White space with the letters and digits behind it up to a sign, where the vocabulary's rule always ends a word; else up to white space.
 CHUNK = re.compile(r"[ \t\n\r]*+[A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]++(?=[!-/:-@\[-`{-~])|[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
 #: Other white space, or what may count as such: texts with it are not cut.
@@ -44,6 +44,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path(VOCABULARY))
         size = self.tokenizer.get_vocab_size()
+        self.kind = "<u2" if size <= 1 << 16 else "<u4"  # of the ids that are remembered
         self.opens = np.array([(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(size)])  # with a space
         self.known: dict[str, bytes] = {}
 
@@ -51,34 +52,34 @@ class Encoder:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, chunks: set[str]) -> dict[str, bytes]:
-        """Ids of chunks as little-endian words. Words behind one space go as one text, parted again where tokens open with a space."""
+        """Ids of chunks as little-endian numbers. Words behind one space go as one text, parted again where tokens open with a space."""
         words = [c for c in chunks if c[0] == " " and c[1:2] not in (" ", "\t", "\n", "\r", "")]
         rest = [*chunks.difference(words)]
-        found = {c: np.array(ids, "<u4").tobytes() for c, ids in zip(rest, self.whole(rest))}
+        found = {c: np.array(ids, self.kind).tobytes() for c, ids in zip(rest, self.whole(rest))}
         if words:
-            ids = np.array(self.whole(["".join(words)])[0], "<u4")
-            starts = (4 * np.flatnonzero(self.opens[ids])).tolist()
+            ids = np.array(self.whole(["".join(words)])[0], self.kind)
             line = ids.tobytes()
-            found |= {w: line[a:b] for w, a, b in zip(words, starts, [*starts[1:], len(line)], strict=True)}
+            starts = [*(ids.itemsize * np.flatnonzero(self.opens[ids])).tolist(), len(line)]
+            found.update(zip(words, map(line.__getitem__, map(slice, starts, starts[1:])), strict=True))
         return found
 
     def ids(self, texts: list[str]) -> Iterator[np.ndarray]:
         """Little-endian ids of each text, with the end id."""
         plain = [not (MARK in t or RARE.search(t)) for t in texts]
         others = iter(self.whole([t for t, p in zip(texts, plain) if not p]))
-        cut = [CHUNK.findall(t) if p else None for t, p in zip(texts, plain)]
-        found = self.learn(set(chain.from_iterable(filter(None, cut))).difference(self.known))
-        room = len(self.known) < MOST
-        self.known |= found
-        end = np.array([END], "<u4").tobytes()
-        for chunks in cut:
-            if chunks is None:
+        cut = [CHUNK.findall(t) if p else [] for t, p in zip(texts, plain)]
+        held = [[*map(self.known.get, chunks)] for chunks in cut]
+        gaps = [[i for i, x in enumerate(line) if x is None] for line in held]
+        found = self.learn({chunks[i] for chunks, gap in zip(cut, gaps) for i in gap})
+        self.known |= islice(((c, x) for c, x in found.items() if len(c) <= SHORT), MOST - len(self.known))
+        end = np.array([END], self.kind).tobytes()
+        for p, chunks, line, gap in zip(plain, cut, held, gaps):
+            if not p:
                 yield np.array([*next(others), END], "<u4")
-            else:
-                yield np.frombuffer(b"".join(map(self.known.__getitem__, chunks)) + end, "<u4")
-        for c in found:
-            if not room or len(c) > SHORT:
-                del self.known[c]
+                continue
+            for i in gap:
+                line[i] = found[chunks[i]]
+            yield np.frombuffer(b"".join(line) + end, self.kind).astype("<u4")
 
 
 @cache

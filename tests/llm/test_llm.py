@@ -476,6 +476,17 @@ def test_ids_are_those_of_whole_texts():
             assert ids.tolist() == [*want, packing.END]
 
 
+def test_packing_remembers_so_many_chunks_and_no_more(monkeypatch):
+    monkeypatch.setattr(packing, "MOST", 50)
+    encoder = packing.Encoder(None)
+    random.seed(3)
+    for _ in range(4):
+        texts = [" ".join("".join(random.choices("aeioußé.,7", k=random.randint(1, 60))) for _ in range(40)) for _ in range(5)]
+        for ids, want in zip(encoder.ids(texts), encoder.whole(texts), strict=True):
+            assert ids.tolist() == [*want, packing.END] and ids.dtype == "<u4"
+        assert 0 < len(encoder.known) <= 50 and max(map(len, encoder.known)) <= packing.SHORT
+
+
 def test_packing_survives_white_space(spark):
     rows = [(1, " " * 1_000_000), (2, "\n" * 1_000_000), (3, "a" * 1_000_000), (4, None)]
     got = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string")).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("d")).collect()
