@@ -122,7 +122,8 @@ def fingerprint_components(fps: DataFrame) -> DataFrame:
     buckets = fps.repartition(shuffle_width(fps.sparkSession), "fp").mapInArrow(_keys, "fp long, keys array<long>")
     buckets = buckets.select("fp", F.explode("keys").alias("key"))
     ends = buckets.groupBy("key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi")
-    members = shared_table(buckets.join(ends, "key"), "buckets")
+    # Spark takes the 80 keys behind an explode for one, and would broadcast millions of ends as a small table
+    members = shared_table(buckets.join(ends.hint("merge"), "key"), "buckets")
     to_ends = [members.where((F.col("fp") != F.col(end)) & _near("fp", end)).select(F.col("fp").alias("a"), F.col(end).alias("b")) for end in ("lo", "hi")]
     stars = connected_components(to_ends[0].union(to_ends[1])).withColumnRenamed("node", "fp")
     labelled = members.select("key", "fp").join(stars, "fp", "left").select("key", "fp", F.coalesce("root", "fp").alias("label"))
