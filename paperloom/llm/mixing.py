@@ -72,7 +72,7 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     Rows alike in every column are one row with the sum of their copies, given out again as so many rows.
     """
     taken = mix(docs, line=line_digest(docs), **how).groupBy("line").agg(F.sum("copies").alias("copies")).where("copies > 0")
-    rows = lines_once(docs).join(taken, "line")
+    rows = lines_once(docs).join(taken.hint("merge"), "line")  # both lie by line
     thousands = F.ceil(F.col("copies") / 1000).cast("int")
     rows = rows.withColumn("part", F.explode(F.sequence(F.lit(1), thousands)))
     each = F.when(F.col("part") < thousands, 1000).otherwise(F.col("copies") - (thousands - 1) * 1000)

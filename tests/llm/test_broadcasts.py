@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from paperloom.llm import simhash_dedup
+from paperloom.llm import _shared, mixing, simhash_dedup
 
 
 @pytest.fixture
@@ -29,3 +29,19 @@ def test_ends_of_the_buckets_are_not_broadcast(no_small_table, monkeypatch):
     fps = write(no_small_table.range(300).select(F.xxhash64("id").alias("fp")), "distinct")
     assert simhash_dedup.fingerprint_components(fps).count() == 300
     assert "Join" in plans["buckets"] and "Broadcast" not in plans["buckets"]
+
+
+def test_lines_that_stay_are_not_broadcast(no_small_table):
+    docs = no_small_table.range(50).select(F.col("id").alias("doc_id"), F.concat(F.lit("some words "), F.col("id") % 40).alias("text"), F.lit("s").alias("source"))
+    kept = _shared.keep_rows(docs, docs.where("doc_id % 2 = 0").select(_shared.line_digest(docs).alias("line")))
+    assert kept.count() == 25
+    assert "SortMergeJoin" in plan_of(kept) and "Broadcast" not in plan_of(kept)
+
+
+def test_lines_that_are_mixed_are_not_broadcast(no_small_table, monkeypatch):
+    docs = no_small_table.range(50).select(F.col("id").alias("doc_id"), F.concat(F.lit("some words "), F.col("id") % 40).alias("text"), F.lit("s").alias("source"))
+    taken = docs.select(_shared.line_digest(docs).alias("line"), F.lit(2).cast("long").alias("copies"))
+    monkeypatch.setattr(mixing, "mix", lambda *a, **k: taken)
+    rows = mixing.mixed_documents(docs)
+    assert rows.count() == 100
+    assert "SortMergeJoin" in plan_of(rows) and "Broadcast" not in plan_of(rows)
