@@ -323,8 +323,7 @@ def near_dup_pairs(spark, sf):
 @query(f"""WITH RECURSIVE {JAC}, e AS (SELECT a, b FROM k UNION SELECT b, a FROM k), r(id, m) AS (SELECT p_partkey, p_partkey FROM part UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.m)
 SELECT id, min(m) AS cluster FROM r GROUP BY 1""")
 def task_clusters(spark, sf):
-    names = _names(spark, sf)
-    return similarity.clusters(names, similarity.jaccard_pairs(names, 0.6))
+    return similarity.jaccard_clusters(_names(spark, sf), 0.6)
 
 
 @query()
