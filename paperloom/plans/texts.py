@@ -328,8 +328,7 @@ def task_clusters(spark, sf):
 
 @query()
 def near_dup_leaders(spark, sf):
-    names = _names(spark, sf)
-    return similarity.leaders(names, similarity.jaccard_pairs(names, 0.6))
+    return similarity.jaccard_leaders(_names(spark, sf), 0.6)
 
 
 TERMS = f"tm AS (SELECT source AS id, term, count(*) AS tf FROM (SELECT source, unnest(string_split({_form_sql('text')}, ' ')) AS term FROM documents) WHERE length(term) > 3 GROUP BY 1, 2)"
