@@ -65,11 +65,10 @@ def _titled(rest: Column) -> Column:
     return bare.rlike(r"^[\p{Lu}\p{Nd}(]") & ~F.arrays_overlap(small, F.array(*map(F.lit, STOP)))
 
 
-def _own_heading(unit: Column, before: Column, above: Column, below: Column, second: Column) -> Column:
-    """unit opens with a reference; before: the units above it, above the last of them; below and second: the next ones."""
+def _own_heading(rest: Column, before: Column, above: Column, below: Column, second: Column) -> Column:
+    """rest: what follows a reference that opens a unit; before: the units above it, above the last of them; below and second: the next ones."""
     last = F.lower(F.try_element_at(F.regexp_extract_all(above, F.lit("[A-Za-z&]+"), 0), F.lit(-1)))
     runs_on = F.coalesce(last.isin(*RUNS_ON), F.lit(False))
-    rest = _strip(F.regexp_replace(unit, f"^{TOKEN}\u0004?", ""))
     tail = _plain(rest)
     listed = tail.rlike("^[,;]") | tail.isin(".", ")")
     tail = F.when(tail.startswith("."), _strip(F.substring(tail, 2, 1_000_000))).otherwise(tail)
@@ -80,33 +79,41 @@ def _own_heading(unit: Column, before: Column, above: Column, below: Column, sec
     return ~runs_on & ~listed & titled & ((before < TOP_UNITS) | ((target != "") & ~target.isin(*STOP)))
 
 
+def _held(value: Column, name: str) -> Column:
+    """value as a column that Spark does not write out again wherever it is read, as it would where it pushes a filter down."""
+    return F.explode(F.array(value)).alias(name)
+
+
 def headings(pages: DataFrame) -> DataFrame:
     """document, page, reference, own_heading, not_applicable: each reference that opens a unit, a line or cell, of pages (document, page, text).
 
     own_heading: it is the heading of its own section, not a mention. A page that opens units with several references is a list;
-    it has no headings, but it can say that an entry is not applicable. A null text has no units.
+    it has no headings, but it can say that an entry is not applicable. A null text has no units. Pages are marked and cut into units once;
+    of the units only those that open with a reference and the three around each are looked at.
     """
-    units = F.filter(F.transform(F.split(marked(F.col("text")), r"[\n|]"), _strip), lambda u: u != "")
-    rows = pages.select("document", "page", units.alias("units"))
+    rows = pages.where(F.col("text").rlike("(?i)form|exhibit|annex|appendix")).select("document", "page", _held(F.split(marked(F.col("text")), r"[\n|]"), "units"))
+    rows = rows.select("document", "page", _held(F.filter(F.transform("units", _strip), lambda u: u != ""), "units"))
     at = lambda i: F.coalesce(F.get("units", i), F.lit(""))
+    opens = lambda u: u.startswith("\u0001")
 
     def lead(unit: Column, i: Column) -> Column:
-        token = F.regexp_extract(unit, f"^{TOKEN}", 0)
-        before = F.aggregate(F.slice("units", F.lit(1), i), F.lit(0), lambda n, u: n + 1 + F.length(u) - F.length(F.translate(u, "\u0004", "")))
-        own = _own_heading(unit, before, _plain(at(i - 1)), _plain(at(i + 1)), _plain(at(i + 2)))
-        rest = _plain(_strip(F.regexp_replace(unit, f"^{TOKEN}\u0004?", "")))
-        opens = lambda u: u.startswith("\u0001")
-        follow = F.transform(F.array(at(i + 1), F.when(~opens(at(i + 1)), at(i + 2)).otherwise("")), lambda u: F.when(opens(u), "").otherwise(_plain(u)))
-        entry = F.filter(F.concat(F.array(rest), follow), lambda u: u != "")
-        title = F.coalesce(F.get(entry, F.lit(0)), F.lit(""))
-        absent = title.rlike(NOT_APPLICABLE) | F.exists(F.slice(entry, 1, 2), lambda u: u.rlike(ONLY_NOT_APPLICABLE))
-        return F.when(opens(unit), F.struct(key(F.regexp_extract(token, TOKEN, 1), F.regexp_extract(token, TOKEN, 2)).alias("reference"), before.alias("before"), own.alias("own"), absent.alias("absent")))
-
-    rows = rows.select("document", "page", F.array_compact(F.transform("units", lead)).alias("leads"))
+        # a unit counts once at least, and only the first units are told apart
+        above = F.aggregate(F.slice("units", F.lit(1), i), F.lit(0), lambda n, u: n + 1 + F.length(u) - F.length(F.translate(u, "\u0004", "")))
+        before = F.when(i >= LIST_TOP_UNITS, i).otherwise(above)
+        reference = key(F.regexp_extract(unit, f"^{TOKEN}", 1), F.regexp_extract(unit, f"^{TOKEN}", 2))
+        return F.when(opens(unit), F.struct(reference.alias("reference"), before.alias("before"), unit.alias("unit"), at(i - 1).alias("above"), at(i + 1).alias("below"), at(i + 2).alias("second")))
+
+    rows = rows.select("document", "page", _held(F.array_compact(F.transform("units", lead)), "leads"))
     different = lambda a: F.size(F.array_distinct(F.transform(a, lambda x: x["reference"])))
     listing = (different(F.col("leads")) >= LIST_REFS) | (different(F.filter("leads", lambda x: x["before"] < LIST_TOP_UNITS)) >= LIST_TOP_REFS)
-    rows = rows.select("document", "page", listing.alias("listing"), F.explode("leads").alias("lead"))
-    return rows.select("document", "page", "lead.reference", (~F.col("listing") & F.col("lead.own")).alias("own_heading"), (F.col("listing") & F.col("lead.absent")).alias("not_applicable"))
+    rows = rows.select("document", "page", listing.alias("listing"), F.explode("leads").alias("lead")).select("document", "page", "listing", "lead.*")
+    rest = _strip(F.regexp_replace("unit", f"^{TOKEN}\u0004?", ""))
+    own = _own_heading(rest, F.col("before"), _plain(F.col("above")), _plain(F.col("below")), _plain(F.col("second")))
+    follow = F.array(F.when(opens(F.col("below")), "").otherwise(_plain(F.col("below"))), F.when(opens(F.col("below")) | opens(F.col("second")), "").otherwise(_plain(F.col("second"))))
+    entry = F.filter(F.concat(F.array(_plain(rest)), follow), lambda u: u != "")
+    title = F.coalesce(F.get(entry, F.lit(0)), F.lit(""))
+    absent = title.rlike(NOT_APPLICABLE) | F.exists(F.slice(entry, 1, 2), lambda u: u.rlike(ONLY_NOT_APPLICABLE))
+    return rows.select("document", "page", "reference", (~F.col("listing") & own).alias("own_heading"), (F.col("listing") & absent).alias("not_applicable"))
 
 
 def absent_documents(pages: DataFrame, files: DataFrame) -> DataFrame:

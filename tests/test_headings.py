@@ -49,3 +49,10 @@ def test_absent_documents(spark):
         "ANNEX F": (1, "b.pdf#p2"),
     }
     assert headings.absent_documents(spark.createDataFrame([], "document string, page int, text string"), spark.createDataFrame([], "filename string")).count() == 0
+
+
+def test_a_page_is_marked_once(spark):
+    pages = spark.createDataFrame([("d", 1, "ANNEX A\n" + "line\n" * 20 + "FORM 2 | and FORM 3")], "document string, page long, text string")
+    rows = headings.headings(pages)
+    assert [(r.reference, r.own_heading) for r in rows.collect()] == [("ANNEX A", False), ("FORM 2", False)]
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("translate(coalesce(text") == 1
