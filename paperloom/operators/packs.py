@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from paperloom.operators.similarity import written
+
 # Least confidence of a FAIL, least length of a quote.
 LEAST_FAIL, LEAST_QUOTE = 0.8, 12
 # Most requirements picked for a package, most specifications and shown pages of one.
 MOST_PICKED, MOST_SPECS = 60, 40
+#: So many first pages at most are broadcast; more are merged.
+FEW = 100_000
 
 
 def evidence_in_scope(evidence: DataFrame) -> DataFrame:
@@ -91,9 +96,27 @@ def failed_reasons(checks: Column) -> Column:
     return F.transform(F.filter(checks, lambda c: c["status"] == "FAIL"), lambda c: F.concat_ws(": ", c["label"], c["detail"]))
 
 
+def _matches_nothing(pattern: str) -> bool:
+    """Whether pattern may match an empty text; one that Python does not know may."""
+    try:
+        return re.search(pattern, "") is not None
+    except re.error:
+        return True
+
+
 def first_matches(pages: DataFrame, patterns: tuple[tuple[str, str], ...], around: int = 40) -> DataFrame:
-    """(document, name, page, snippet): the first page of each document that each pattern finds; nothing where none does."""
-    rows = pages.select("document", "page", F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.regexp_extract("text", f"(?i)(.{{0,{around}}}(?:{p}).{{0,{around}}})", 1).alias("snippet")) for n, p in patterns])).alias("m"))
+    """(document, name, page, snippet): the first page of each document that each pattern finds; nothing where none does.
+
+    Pages are searched for the patterns alone, which is quick, and only the first of each document for what stands around them.
+    """
+    within = {n: F.regexp_extract("text", f"(?i)(.{{0,{around}}}(?:{p}).{{0,{around}}})", 1) for n, p in patterns}
+    named = F.array_compact(F.array(*[F.when(within[n] != "" if _matches_nothing(p) else F.col("text").rlike(f"(?i)(?:{p})"), F.lit(n)) for n, p in patterns]))
+    firsts = pages.select("document", "page", F.explode(named).alias("name")).groupBy("document", "name").agg(F.min(F.struct("page")).alias("first"))
+    firsts = written(firsts.select(F.col("document").alias("of"), "name", F.col("first.page").alias("first")), "firsts")
+    chosen = firsts.select("of", "first").distinct()
+    chosen = F.broadcast(chosen) if firsts.count() <= FEW else chosen.hint("merge")
+    rows = pages.join(chosen, F.col("document").eqNullSafe(F.col("of")) & F.col("page").eqNullSafe(F.col("first")), "left_semi")
+    rows = rows.select("document", "page", F.explode(F.array(*[F.struct(F.lit(n).alias("name"), within[n].alias("snippet")) for n, _ in patterns])).alias("m"))
     rows = rows.select("document", "page", "m.name", "m.snippet").where("snippet <> ''")
     return rows.groupBy("document", "name").agg(F.min(F.struct("page", "snippet")).alias("f")).select("document", "name", "f.page", "f.snippet")
 
