@@ -48,21 +48,25 @@ def line_items(rows: DataFrame) -> DataFrame:
     is no line item. Cells that are null, blank or missing are null, headers take part as they stand. Only header rows are
     brought to their sheet's rows, so a large sheet is never gathered.
     """
+    named = F.lower(F.array_join("cells", "\u0001")).rlike("|".join(ALIASES["description"]))  # else no cell names a description, and none is tried
     slots = F.transform("cells", lambda c: slot(c))
-    known = F.array_distinct(F.array_compact(slots))
-    heads = rows.where(F.col("row") <= HEADER_ROWS).withColumn("slots", slots).where(F.array_contains(F.array_compact(slots), "description") & (F.size(known) >= 2))
+    heads = rows.where((F.col("row") <= HEADER_ROWS) & named).select("document", "sheet", "row", "cells", F.explode(F.array(slots)).alias("slots"))
+    heads = heads.where(F.array_contains(F.array_compact(F.col("slots")), "description") & (F.size(F.array_distinct(F.array_compact(F.col("slots")))) >= 2))
     keys = F.transform(F.arrays_zip("slots", "cells"), lambda x: F.coalesce(x["slots"], F.concat(F.lit("\u0001"), F.coalesce(x["cells"], F.lit("")))))
     heads = heads.groupBy("document", "sheet").agg(F.min_by(F.struct("row", keys.alias("keys")), "row").alias("head"))
-    under = rows.join(heads, ["document", "sheet"]).where(F.col("row") > F.col("head.row"))
+    # once for a sheet: the last column of each slot, and which columns are the last of their name
+    at = {s: F.size("head.keys") - F.nullif(F.array_position(F.reverse("head.keys"), s), F.lit(0)).cast("int") for s in ALIASES}
+    last = F.transform("head.keys", lambda k, i: ~F.array_contains(F.slice("head.keys", i + 2, F.size("head.keys")), k))
+    heads = heads.select("document", "sheet", F.col("head.row").alias("top"), last.alias("last"), *[c.alias(f"at_{s}") for s, c in at.items()])
+    under = rows.join(heads, ["document", "sheet"]).where(F.col("row") > F.col("top"))
     strip = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"^\s+|\s+$", "")
-    behind = F.array_repeat(F.lit(None).cast("string"), F.greatest(F.size("cells") - F.size("head.keys"), F.lit(0)))
-    under = under.withColumn("keys", F.concat("head.keys", behind)).withColumn("cells", F.transform("cells", strip))
-    last = {s: F.coalesce(F.get("cells", F.size("keys") - F.array_position(F.reverse("keys"), s).cast("int")), F.lit("")) for s in ALIASES}
-    of = {s: F.when(F.array_contains(F.array_compact("keys"), s), value).otherwise("") for s, value in last.items()}
-    counted = F.transform("cells", lambda c, i: F.struct(F.when(F.get("keys", i).isNull() | ~F.array_contains(F.array_compact(F.slice("keys", i + 2, F.size("keys"))), F.get("keys", i)), c).alias("c"), (-i).alias("at")))
-    long = F.array_max(F.transform(F.filter(counted, lambda x: F.length(x["c"]) >= LONG), lambda x: F.struct(F.length(x["c"]).alias("n"), x["at"].alias("at"), x["c"].alias("c"))))["c"]
-    under = under.select("document", F.concat("sheet", F.lit("!R"), "row").alias("location"), long.alias("long"), *[v.alias(s) for s, v in of.items()])
-    under = under.withColumn("description", F.when(F.length("description") < SHORT, F.coalesce("long", "description")).otherwise(F.col("description"))).where(F.length("description") >= LEAST)
+    of = {s: strip(F.get("cells", F.col(f"at_{s}"))) for s in ALIASES}
+    counted = F.transform("cells", lambda c, i: F.when(F.coalesce(F.get("last", i), F.lit(True)), F.struct(F.length(strip(c)).alias("n"), (-i).alias("at"), strip(c).alias("c"))))
+    long = F.array_max(F.filter(counted, lambda x: x["n"] >= LONG))["c"]
+    described = F.when(F.length(of["description"]) < SHORT, F.coalesce(long, of["description"])).otherwise(of["description"])
+    location = F.concat("sheet", F.lit("!R"), "row").alias("location")
+    # a column that a filter cannot be pushed below with all it is made of
+    under = under.select("document", location, *[c.alias(s) for s, c in of.items() if s != "description"], F.explode(F.array(described)).alias("description")).where(F.length("description") >= LEAST)
     latin, arabic = bilingual(F.col("description"))
     some = lambda c: F.nullif(c, F.lit(""))
     return under.select("document", "location", some(F.col("item")).alias("item"), "description", some(latin).alias("description_en"), some(arabic).alias("description_ar"), *[some(F.col(s)).alias(s) for s in ("unit", "quantity", "unit_price", "total_price")])

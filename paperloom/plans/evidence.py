@@ -150,11 +150,12 @@ def bill_items(spark, sf):
     name = F.when(part % 5 == 0, "pos").when(part % 3 == 0, F.concat("p_name", F.lit(" كابل نحاس"))).otherwise(F.col("p_name"))
     unit = F.when(part % 4 == 0, F.concat(F.lit("see drawing number "), "l_suppkey")).otherwise("pcs")
     cells = F.array(F.col("l_linenumber").cast("string"), name, unit, F.col("l_quantity").cast("int").cast("string"), F.col("l_suppkey").cast("string"), F.lit(""))
-    heads = F.get(F.array(*[F.array(*[F.array(*map(F.lit, row)) for row in rows]) if rows else F.array().cast("array<array<string>>") for rows in SHEET_HEADS]), (F.col("sheet") % 4).cast("int"))
+    above = [F.array(*[F.struct(F.lit(i + 1).alias("row"), F.array(*map(F.lit, row)).alias("cells")) for i, row in enumerate(rows)]) if rows else F.array().cast("array<struct<row:int,cells:array<string>>>") for rows in SHEET_HEADS]
+    above = F.get(F.array(*above), (F.col("l_orderkey") % 4).cast("int"))
     nth = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"))
-    body = lines.select(F.col("l_orderkey").alias("sheet"), nth.alias("nth"), cells.alias("cells")).select("sheet", (F.col("nth") + F.size(heads)).alias("row"), "cells")
-    above = body.select("sheet").distinct().select("sheet", F.posexplode(heads).alias("row", "cells")).select("sheet", (F.col("row") + 1).alias("row"), "cells")
-    rows = body.unionByName(above)
+    body = lines.select(F.col("l_orderkey").alias("sheet"), nth.alias("nth"), above.alias("above"), cells.alias("cells"))
+    own = F.array(F.struct((F.col("nth") + F.size("above")).alias("row"), "cells"))
+    rows = body.select("sheet", F.inline(F.when(F.col("nth") == 1, F.concat("above", own)).otherwise(own)))
     return B.line_items(rows.select(F.concat(F.lit("order "), F.col("sheet") % 7).alias("document"), F.concat(F.lit("S"), "sheet").alias("sheet"), "row", "cells"))
 
 

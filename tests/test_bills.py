@@ -29,3 +29,11 @@ def test_line_items(spark, parts):
 
 def test_no_sheets(spark):
     assert bills.line_items(spark.createDataFrame([], "document string, sheet string, row int, cells array<string>")).count() == 0
+
+
+def test_a_description_is_made_once(spark):
+    """Spark pushes a filter on it down with all it is made of, unless it is held."""
+    rows = spark.createDataFrame([("d", "s", 1, ["Item", "Description"]), ("d", "s", 2, ["1", "steel towers"])], "document string, sheet string, row int, cells array<string>")
+    items = bills.line_items(rows)
+    assert [r.description for r in items.collect()] == ["steel towers"]
+    assert items._jdf.queryExecution().optimizedPlan().toString().count("array_max") == 1
